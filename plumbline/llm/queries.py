@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, sharding, warc
+from plumbline.llm import byte_bpe, exact_dedup, packing, sharding, warc
 from plumbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,15 +16,23 @@ def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op2_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {"op1_kd_sharding": op1_kd_sharding, "op3_exact_dedup": op3_exact_dedup, "op10_warc": op10_warc}
+QUERIES: dict[str, Query] = {"op1_kd_sharding": op1_kd_sharding, "op2_residual_packing": op2_residual_packing, "op3_exact_dedup": op3_exact_dedup, "op7_segment_tree_bpe": op7_segment_tree_bpe, "op10_warc": op10_warc}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": """
