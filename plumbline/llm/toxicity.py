@@ -1,10 +1,12 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A word enters as a learnt vector (words of the training sample; any other word shares one) beside the two final states
-of a character network that reads its letters both ways. A second network of that kind reads the words of a window both
+A word enters as a learnt vector beside the two final states of a character network that reads its letters both ways.
+Vectors are learnt for the words and word beginnings of the training sample that tell most about its labels; a word takes
+its own vector, else that of its longest known beginning, else one that all others share. A second network of that kind reads the words of a window both
 ways; attention pools its states, and a linear layer gives the window's log odds. A text is cut into overlapping windows
 that cover all of it, and the highest window decides. Training knows only the labels of whole texts, so each round picks
 the window of each text that the network finds most toxic (and a few others of the clean texts) and descends on those.
+A first guess at those windows comes from the words and word beginnings that set toxic texts apart.
 """
 
 from __future__ import annotations
@@ -26,29 +28,18 @@ THRESHOLD = 0.5
 WINDOW, STRIDE = 32, 24
 #: Letters of a word that the character network reads at once; a longer word enters as several.
 WORD_LETTERS = 16
-VOCABULARY, MIN_TEXTS = 4000, 4
-LETTERS, LETTER_DIM, LETTER_STATE, WORD_DIM, WORD_STATE, ATTENTION = 256, 8, 8, 8, 8, 8
-EPOCHS, BATCH, RATE = 12, 128, 0.01
+VOCABULARY, MIN_TEXTS = 3000, 5
+LETTERS, LETTER_DIM, LETTER_STATE, WORD_DIM, WORD_STATE, ATTENTION = 256, 8, 12, 8, 8, 8
+EPOCHS, BATCH, RATE = 7, 128, 0.01
 #: Words whose inputs a worker keeps, and windows that run side by side.
-CACHE_WORDS, SIDE_BY_SIDE = 200_000, 8192
+CACHE_WORDS, SIDE_BY_SIDE = 200_000, 1024
 
-_TRIM = "\"'.,;:!?()[]{}*#$%&|<>=-_~"
-_LONG = re.compile(rf".{{1,{WORD_LETTERS}}}", re.S)
+_WORDS = re.compile(rf"\w{{1,{WORD_LETTERS}}}")
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased words without the marks around them; words of more than WORD_LETTERS letters in parts."""
-    out = []
-    for w in text.lower().split():
-        if len(w) > WORD_LETTERS or not w.isalpha():
-            w = w.strip(_TRIM)
-            if len(w) > WORD_LETTERS:
-                out += _LONG.findall(w)
-                continue
-            if not w:
-                continue
-        out.append(w)
-    return out
+    """Lower-cased runs of letters and digits; runs of more than WORD_LETTERS in parts."""
+    return _WORDS.findall(text.lower())
 
 
 def window_starts(n: int) -> range:
@@ -137,13 +128,15 @@ class Network:
         codes, mask = self._letters(words)
         longest = max(1, int(mask.sum(axis=0).max())) if len(words) else 1
         codes, mask = codes[:longest], mask[:longest]
-        ids = np.array([self.number.get(w, 0) for w in words], dtype=np.int64)
-        letters, parts, kept = self.p["letters"][codes], [self.p["words"][ids]], {}
+        number = self.number
+        ids = np.array([next((number[p] for p in _parts(w) if p in number), 0) for w in words], dtype=np.int64)
+        parts, kept = [self.p["words"][ids]], {}
         for way, turn in (("ahead", 1), ("back", -1)):
             kept[way] = [] if keep is not None else None
-            parts.append(run_gru((letters @ self.p[f"c_in_{way}"] + self.p[f"c_b_{way}"])[::turn], self.p[f"c_u_{way}"], mask[::turn], kept[way])[-1])
+            by_letter = self.p["letters"] @ self.p[f"c_in_{way}"] + self.p[f"c_b_{way}"]
+            parts.append(run_gru(by_letter[codes][::turn], self.p[f"c_u_{way}"], mask[::turn], kept[way])[-1])
         if keep is not None:
-            keep |= {"codes": codes, "mask": mask, "ids": ids, "letters": letters, "kept": kept}
+            keep |= {"codes": codes, "mask": mask, "ids": ids, "letters": self.p["letters"][codes], "kept": kept}
         return np.concatenate(parts, axis=1)
 
     def back_words(self, grad: np.ndarray, keep: dict, g: dict[str, np.ndarray]) -> None:
@@ -164,20 +157,21 @@ class Network:
 
     def rows_of(self, words: list[str]) -> list[int]:
         """Rows of `table` for the words, those not met before being read first. Row 0 is no word."""
-        missing = [w for w in dict.fromkeys(words) if w not in self.seen]
+        missing = list(set(words).difference(self.seen))
         if missing:
             if len(self.seen) + len(missing) > CACHE_WORDS and self.seen:
                 self.forget()
-                missing = list(dict.fromkeys(words))
+                missing = list(set(words))
             made: list[list[np.ndarray]] = [[], []]
-            for k in range(0, len(missing), 4 * SIDE_BY_SIDE):
-                vectors = self.read_words(missing[k : k + 4 * SIDE_BY_SIDE])
+            missing.sort(key=lambda w: (len(w), w))  # words of a length side by side
+            for k in range(0, len(missing), SIDE_BY_SIDE):
+                vectors = self.read_words(missing[k : k + SIDE_BY_SIDE])
                 for i, way in enumerate(("ahead", "back")):
                     made[i].append(vectors @ self.p[f"w_in_{way}"] + self.p[f"w_b_{way}"])
             first = len(self.table[0])
             self.table = [np.concatenate([t, *m]) for t, m in zip(self.table, made, strict=True)]
             self.seen.update(zip(missing, range(first, first + len(missing)), strict=True))
-        return [self.seen[w] for w in words]
+        return list(map(self.seen.__getitem__, words))
 
     # windows
 
@@ -255,8 +249,8 @@ def train(texts: list[str], y: np.ndarray, prior: float, seed: int = 3) -> Netwo
     if len(y) == 0 or y.min() == y.max():
         return None
     split = [words_of(t) for t in texts]
-    often = Counter(w for t in split for w in set(t))
-    vocabulary = [w for w, k in sorted(often.items(), key=lambda x: (-x[1], x[0])) if k >= MIN_TEXTS][:VOCABULARY]
+    odds = _word_odds(split, y)
+    vocabulary = [w for w, _ in sorted(odds.items(), key=lambda x: (-abs(x[1][0]) * np.sqrt(x[1][1]), x[0]))][:VOCABULARY]
     net, rng = Network(vocabulary, seed), np.random.default_rng(seed)
     share = y.mean()
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share)).astype(np.float32)
@@ -265,18 +259,20 @@ def train(texts: list[str], y: np.ndarray, prior: float, seed: int = 3) -> Netwo
     for epoch in range(EPOCHS):
         net.forget()
         windows, begins = net.text_windows(split)
-        words = [""] + list(net.seen)
-        logits, ends = net.window_scores(windows), np.append(begins[1:], len(windows))
+        words, ends = ["", *net.seen], np.append(begins[1:], len(windows))
+        if epoch:
+            logits = net.window_scores(windows)
+        else:  # a first guess at which windows matter: those with the word that sets toxic texts apart most
+            logits = np.array([max(odds.get(part, (0.0, 0))[0] for part in _parts(w)) for w in words])[windows].max(axis=1)
+        tops = begins + np.array([logits[lo:hi].argmax() for lo, hi in zip(begins, ends, strict=True)])
+        settled = epoch >= EPOCHS // 2  # before that, both labels weigh the same, so that the rarer one is learnt at all
         chosen, target, factor = [], [], []
         for i, (lo, hi) in enumerate(zip(begins, ends, strict=True)):
-            if epoch == 0 and hi - lo > 6:  # at first, only texts short enough that a window says something of the text
-                continue
-            top = lo + int(logits[lo:hi].argmax()) if epoch else int(rng.integers(lo, hi))
-            picks = {top} if y[i] else {top, *(int(x) for x in rng.integers(lo, hi, 2))}
+            picks = {int(tops[i])} if y[i] else {int(tops[i]), int(rng.integers(lo, hi))}
             for w in sorted(picks):
                 chosen.append(w)
                 target.append(y[i])
-                factor.append(weight[i] / len(picks))
+                factor.append((weight[i] if settled else 0.5 / (share if y[i] else 1 - share)) / len(picks))
         order = rng.permutation(len(chosen))
         chosen, target, factor = (np.array(x)[order] for x in (chosen, target, factor))
         rate = RATE * min(1, 1.5 * (1 - epoch / EPOCHS))
@@ -287,6 +283,20 @@ def train(texts: list[str], y: np.ndarray, prior: float, seed: int = 3) -> Netwo
     return net
 
 
+def _parts(word: str) -> tuple[str, ...]:
+    """A word and its beginnings, the longest first."""
+    return word, word[:6] + "-", word[:5] + "-", word[:4] + "-"
+
+
+def _word_odds(split: list[list[str]], y: np.ndarray) -> dict[str, tuple[float, int]]:
+    """Smoothed log ratio of the shares of toxic and clean texts that have a word or a beginning, and how many do: MIN_TEXTS or more."""
+    count: tuple[Counter, Counter] = (Counter(), Counter())
+    for words, label in zip(split, y, strict=True):
+        count[int(label)].update(set().union(*map(_parts, set(words))))
+    n = [len(y) - y.sum() + 1, y.sum() + 1]
+    return {w: (float(np.log((count[1][w] + 0.5) / n[1]) - np.log((count[0][w] + 0.5) / n[0])), k) for w in count[0].keys() | count[1].keys() if (k := count[0][w] + count[1][w]) >= MIN_TEXTS}
+
+
 def _descend(net: Network, words: list[str], rows: np.ndarray, y: np.ndarray, factor: np.ndarray, moments: dict, step: int, rate: float) -> None:
     """One step of Adam on a batch of windows."""
     used, at = np.unique(rows, return_inverse=True)
