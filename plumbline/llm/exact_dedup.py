@@ -46,7 +46,7 @@ def elect(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
         )
     schema = T.StructType(
         [
-            T.StructField("digest", T.BinaryType()),
+            T.StructField("digest", rows.schema["digest"].dataType),
             T.StructField("keep_id", rows.schema["id"].dataType),
             T.StructField("keep_row", T.LongType()),
             T.StructField("group_size", T.LongType()),

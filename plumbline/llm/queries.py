@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import byte_bpe, exact_dedup, packing, quality_model, quality_rules, sharding, toxicity, warc
+from plumbline.llm import byte_bpe, exact_dedup, near_dedup, packing, quality_model, quality_rules, sharding, toxicity, warc
 from plumbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,11 +40,15 @@ def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {"op1_kd_sharding": op1_kd_sharding, "op2_residual_packing": op2_residual_packing, "op3_exact_dedup": op3_exact_dedup, "op4_recurrent_toxicity": op4_recurrent_toxicity, "op6_divergence_rules": op6_divergence_rules, "op7_segment_tree_bpe": op7_segment_tree_bpe, "op8_additive_quality": op8_additive_quality, "op10_warc": op10_warc}
+QUERIES: dict[str, Query] = {"op1_kd_sharding": op1_kd_sharding, "op2_residual_packing": op2_residual_packing, "op3_exact_dedup": op3_exact_dedup, "op4_recurrent_toxicity": op4_recurrent_toxicity, "op6_divergence_rules": op6_divergence_rules, "op7_segment_tree_bpe": op7_segment_tree_bpe, "op8_additive_quality": op8_additive_quality, "op9_super_minhash": op9_super_minhash, "op10_warc": op10_warc}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": """
