@@ -9,7 +9,9 @@ token ids themselves never travel.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,42 +31,81 @@ SLACK = 8
 #: Items that a node packs at once; more are packed in blocks of this many, which bounds its memory.
 BLOCK_ITEMS = 200_000
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 
 _BIN = "done boolean, length int, first long, pieces array<struct<doc_id: long, piece: int, start: long, length: int, crc: long, row_no: long, at: int>>"
 _FIELDS = ("doc_id", "piece", "start", "length", "crc", "row_no", "at")
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("crc", pa.int64()), ("row_no", pa.int64()), ("at", pa.int32())])
 _ARROW = pa.schema([("done", pa.bool_()), ("length", pa.int32()), ("first", pa.int64()), ("pieces", pa.list_(_PIECE))])
-_SPACES = str.maketrans("\t\n\r", "   ")
+#: Marks that the tokenizer always cuts from a word of letters before them.
+_MARKS = frozenset(".,;:!?|")
+#: Below this, small letters are the same by Python and by the tokenizer, and composed forms stay composed.
+_FOLDS_ALIKE = "\u0250"
+#: Characters of the texts whose words are learnt together.
+GROUP_CHARS = 2_000_000
 
 
 class WordTokenizer:
     """Ids of whole texts, by ids of their words.
 
     The tokenizer drops white space and works within words only, so a text's ids are its words' ids in a row. Words are cut
-    at space, tab and line ends alone; any other white space stays inside a "word" and is left to the tokenizer.
+    at space, tab and line ends alone; any other white space stays inside a "word" and is left to the tokenizer. It also
+    folds case and cuts marks from letters, so a word of letters that ends in one mark has the ids of both, and a capital
+    those of the small letter: what it is asked for is plain stems, most of which are known.
     """
 
     def __init__(self, path: str, end_id: int = 0) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.end = np.array([end_id], dtype="<u4").tobytes()
+        self.end = array("I", [end_id]).tobytes()
+        # how byte-level tokenizers write bytes: printable Latin-1 as it is, the others from U+0100 on
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(rest)}
         self.known: dict[str, bytes] = {"": b""}
-
-    def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").translate(_SPACES).split(" ")
+        self.older: dict[str, bytes] = {}
+
+    def _plain(self, word: str) -> tuple[str, str]:
+        """The stem and mark that have the word's ids together."""
+        if not word.isascii() and (max(word) >= _FOLDS_ALIKE or "\u0130" in word):
+            return word, ""
+        low = word.lower()
+        return (low[:-1], low[-1]) if low[-1] in _MARKS and low[:-1].isalpha() else (low, "")
+
+    def learn(self, words: set[str]) -> None:
+        known, older = self.known, self.older
+        if len(known) + len(words) > CACHE_WORDS:  # the words of the time before last are dropped
+            self.known, self.older = {"": b""}, known
+            known, older = self.known, self.older
+        missing = words.difference(known)
+        parts = {}
+        for w in missing:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            else:
+                parts[w] = self._plain(w)
+        new = [x for x in {p for pair in parts.values() for p in pair} if x not in known]
+        tokenize, alphabet = self.tokenizer.model.tokenize, self.alphabet
+        other = []
+        for x in new:
+            if x.isalpha() and max(x) < _FOLDS_ALIKE and "\u0130" not in x:  # already folded and one run of letters: only the merges are left to do
+                known[x] = array("I", [t.id for t in tokenize(x.encode().decode("latin-1").translate(alphabet))]).tobytes()
+            else:
+                other.append(x)
+        for x, coded in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            known[x] = array("I", coded.ids).tobytes()
+        for w, (stem, mark) in parts.items():
+            known[w] = known[stem] + known[mark]
+
+    def ids_of(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        self.learn(set().union(*split))
         known = self.known
-        missing = [w for w in set(words) if w not in known]
-        if missing:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                known[""] = b""
-                missing = list(set(words) - {""})
-            for word, coded in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                known[word] = np.array(coded.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join([*map(known.__getitem__, words), self.end]), dtype="<u4")
+        for words in split:
+            yield np.frombuffer(b"".join([*map(known.__getitem__, words), self.end]), dtype="<u4")
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -117,11 +158,18 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, slack:
     """Tokenises whole texts and packs their pieces in blocks of BLOCK_ITEMS."""
     tok, items = word_tokenizer(path), []
     for batch in batches:
-        for doc_id, text, row_no in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "row_no")), strict=True):
-            ids = tok.ids(text)
-            for n, start in enumerate(range(0, len(ids), capacity)):
-                part = ids[start : start + capacity]
-                items.append((len(part), [(doc_id, n, start, len(part), zlib.crc32(part.tobytes()), row_no, 0)]))
+        docs, texts, rows = (batch.column(c).to_pylist() for c in ("id", "text", "row_no"))
+        start = 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop < len(texts) and (stop == start or size < GROUP_CHARS):
+                size += len(texts[stop] or "")
+                stop += 1
+            for doc_id, row_no, ids in zip(docs[start:stop], rows[start:stop], tok.ids_of(texts[start:stop]), strict=True):
+                for n, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
+                    items.append((len(part), [(doc_id, n, at, len(part), zlib.crc32(part.tobytes()), row_no, 0)]))
+            start = stop
         if len(items) >= BLOCK_ITEMS:
             yield _pack(items, capacity, slack)
             items = []
