@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import byte_bpe, exact_dedup, near_dedup, packing, quality_model, quality_rules, sharding, toxicity, warc
+import corpus_pipeline
+from plumbline.llm import byte_bpe, exact_dedup, near_dedup, packing, pii, quality_model, quality_rules, sharding, toxicity, warc
 from plumbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,10 @@ def op4_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents"))
+
+
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {"op1_kd_sharding": op1_kd_sharding, "op2_residual_packing": op2_residual_packing, "op3_exact_dedup": op3_exact_dedup, "op4_recurrent_toxicity": op4_recurrent_toxicity, "op6_divergence_rules": op6_divergence_rules, "op7_segment_tree_bpe": op7_segment_tree_bpe, "op8_additive_quality": op8_additive_quality, "op9_super_minhash": op9_super_minhash, "op10_warc": op10_warc}
+QUERIES: dict[str, Query] = {"op1_kd_sharding": op1_kd_sharding, "op2_residual_packing": op2_residual_packing, "op3_exact_dedup": op3_exact_dedup, "op4_recurrent_toxicity": op4_recurrent_toxicity, "op5_surrogates": op5_surrogates, "op6_divergence_rules": op6_divergence_rules, "op7_segment_tree_bpe": op7_segment_tree_bpe, "op8_additive_quality": op8_additive_quality, "op9_super_minhash": op9_super_minhash, "op10_warc": op10_warc, "pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": """
