@@ -35,6 +35,10 @@ LEAST_ESTIMATE = 0.56
 BATCH_SHINGLES = 150_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
+#: Rounds in which a bucket offers only a forest of its best pairs, before the last offers all that are left.
+FOREST_ROUNDS = 3
+#: Classes whose texts may be found by a broadcast of their ids; more are joined by a shuffle.
+FEW_CLASSES = 50_000
 #: Members of a bucket that one comparison task takes; a larger bucket is dealt out in pairs of such chunks.
 CHUNK = 1000
 
@@ -149,8 +153,12 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= LEAST_ESTIMATE))
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates within buckets, from rows sorted by bucket: pairs of different components with a high enough estimate."""
+def _bucket_pairs(batches: Iterator[pa.RecordBatch], round_no: int) -> Iterator[pa.RecordBatch]:
+    """Candidates within buckets, from rows sorted by bucket: pairs of different components with a high enough estimate.
+
+    Before round FOREST_ROUNDS a bucket offers a spanning forest of them only, the likeliest pairs first; each round shuffles
+    the order a little more, so that a pair that failed makes room for others.
+    """
     rest: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -159,33 +167,60 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         changes = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
         last = int(changes[-1]) if len(changes) else 0
         if last:
-            yield _compare(table.slice(0, last), np.append(0, changes))
+            yield _compare(table.slice(0, last), np.append(0, changes), round_no)
         rest = table.slice(last)
     if rest is not None and len(rest):
-        yield _compare(rest, np.array([0, len(rest)]))
+        yield _compare(rest, np.array([0, len(rest)]), round_no)
 
 
-def _compare(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+def _compare(table: pa.Table, bounds: np.ndarray, round_no: int) -> pa.RecordBatch:
     cls, root, chunk, c1, c2 = (table.column(c).to_numpy() for c in ("cls", "root", "chunk", "c1", "c2"))
     codes = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(-1, PLACES)
     least, out = LEAST_ESTIMATE * PLACES, [np.zeros((2, 0), dtype=np.int64)]
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         own = np.arange(lo, hi)
         left, right = (own, own) if c1[lo] == c2[lo] else (own[chunk[lo:hi] == c1[lo]], own[chunk[lo:hi] == c2[lo]])
+        found = []
         for k in range(0, len(left), 64):
             part = left[k : k + 64]
-            near = (codes[part][:, None, :] == codes[right][None, :, :]).sum(axis=2) >= least
+            same = (codes[part][:, None, :] == codes[right][None, :, :]).sum(axis=2)
+            near = same >= least
             near &= root[part][:, None] != root[right][None, :]
             if c1[lo] == c2[lo]:
                 near &= cls[part][:, None] < cls[right][None, :]
             i, j = np.nonzero(near)
             if len(i):
-                x, y = cls[part[i]], cls[right[j]]
-                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+                found.append(np.stack([part[i], right[j], same[i, j]]))
+        if found:
+            i, j, same = np.concatenate(found, axis=1)
+            if round_no < FOREST_ROUNDS:
+                noise = (_mix((cls[i] ^ (cls[j] << 20)).astype(np.uint64) + np.uint64(round_no)) >> np.uint64(40)).astype(float) / 2**24
+                picked = _forest(root[i], root[j], np.argsort(-(same + 8 * round_no * noise), kind="stable"))
+                i, j = i[picked], j[picked]
+            x, y = cls[i], cls[j]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
     pairs = np.concatenate(out, axis=1)
     return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
 
 
+def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> list[int]:
+    """Places of the pairs that, taken in order, join two sets of roots not yet joined."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    picked = []
+    for k in order.tolist():
+        x, y = find(int(a[k])), find(int(b[k]))
+        if x != y:
+            up[x] = y
+            picked.append(k)
+    return picked
+
+
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t).tobytes() for t in batch.column("text").to_pylist()]
@@ -267,6 +302,8 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     """Of the pairs (a, b) of classes, those whose full sets are similar enough. Texts are read again for those classes only."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = classes.select("cls", F.col("cls_id").alias("w_id"), F.col("text_key").alias("w_key")).join(needed, "cls", "left_semi")
+    wanted = cut(wanted)
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW_CLASSES else wanted
     texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["w_id"]) & (docs["text_key"] == wanted["w_key"]), "inner").select("cls", "text")
     sets = cut(texts.mapInArrow(_sets_of, "cls long, shingles binary"))
     set_a, set_b = (sets.select(F.col("cls").alias(f"k{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
@@ -275,6 +312,23 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return cut(both.mapInArrow(_confirmed, "a long, b long"))
 
 
+def _meet(buckets: DataFrame, roots: DataFrame, classes: DataFrame, round_no: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket that are in different components so far, from buckets of three or more.
+
+    In a bucket of two, the pair has met already. The bucket's rows are dealt out in pairs of chunks, so that no task takes
+    more than two chunks' signatures, however large the bucket.
+    """
+    rooted = buckets.join(roots, buckets["cls"] == roots["node"], "left").select("cls", "key", F.coalesce("root", "cls").alias("root"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 2 AND lo < hi")
+    apart = apart.select(F.col("key").alias("a_key"), F.ceil(F.col("n") / CHUNK).cast("int").alias("k"))
+    members = rooted.join(apart, rooted["key"] == apart["a_key"]).select("cls", "key", "root", "k", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int").alias("chunk"))
+    members = members.join(classes.select(F.col("cls").alias("s_cls"), "signature"), F.col("cls") == F.col("s_cls")).drop("s_cls")
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("key", "cls", "root", "chunk", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "signature")
+    sorted_rows = dealt.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
+    return sorted_rows.mapInArrow(lambda batches: _bucket_pairs(batches, round_no), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id_col, n_shingles, component_id, kept.
 
@@ -295,21 +349,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig_a, sig_b = (classes.select(F.col("cls").alias(f"k{x}"), F.col("signature").alias(f"sig_{x}")) for x in "ab")
     signed = met.join(sig_a, met["a"] == sig_a["ka"]).select("a", "b", "sig_a")
     signed = signed.join(sig_b, signed["b"] == sig_b["kb"]).select("a", "b", "sig_a", "sig_b")
-    links = _confirm(cut(signed.mapInArrow(_alike, "a long, b long")), classes, own)
+    tried = cut(signed.mapInArrow(_alike, "a long, b long"))
+    links = _confirm(tried, classes, own)
     roots = cut(components(links))
-    # buckets of three or more that still hold several components: their members meet each other
-    rooted = buckets.join(roots, buckets["cls"] == roots["node"], "left").select("cls", "key", F.coalesce("root", "cls").alias("root"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 2 AND lo < hi")
-    apart = apart.select(F.col("key").alias("a_key"), F.ceil(F.col("n") / CHUNK).cast("int").alias("k"))
-    members = rooted.join(apart, rooted["key"] == apart["a_key"]).select("cls", "key", "root", "k", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int").alias("chunk"))
-    members = members.join(classes.select(F.col("cls").alias("s_cls"), "signature"), F.col("cls") == F.col("s_cls")).drop("s_cls")
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("key", "cls", "root", "chunk", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "signature")
-    sorted_rows = dealt.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
-    more = cut(sorted_rows.mapInArrow(_bucket_pairs, "a long, b long").distinct())
-    if not more.isEmpty():
-        links = links.unionByName(_confirm(more, classes, own))
-        roots = cut(components(links))
+    for round_no in range(FOREST_ROUNDS + 1):
+        more = cut(_meet(buckets, roots, classes, round_no).join(tried, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        confirmed = _confirm(more, classes, own)
+        tried = tried.unionByName(more)
+        if not confirmed.isEmpty():
+            links = links.unionByName(confirmed)
+            roots = cut(components(links))
     # the smallest id of each component, and so of each class that isn't alone
     of_class = classes.join(roots, classes["cls"] == roots["node"], "left").select("set_key", "cls_id", F.coalesce("root", "cls").alias("root"))
     least = of_class.groupBy("root").agg(F.min("cls_id").alias("component_id")).withColumnRenamed("root", "r")
