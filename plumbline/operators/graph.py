@@ -194,7 +194,7 @@ def matches(pattern: str, namespace: Column, table: Column, column: Column) -> C
     prefix, rest = (scheme[1], scheme[2]) if scheme else ("", low)
     in_space = space.startswith(prefix) if prefix else F.lit(True)
     if ".." in low:
-        before, _, text = (rest if not rest.startswith(".") else "." + rest).partition("..")
+        before, _, text = ("." + rest if scheme and rest.startswith(".") else rest).partition("..")
         if not text:
             return F.lit(False)
         before = before.strip(".")

@@ -67,7 +67,7 @@ WAREHOUSE = {
     "merge_upsert": """SELECT customer_id, CASE WHEN customer_id % 10 = 0 THEN 'MERGED' ELSE segment END AS segment, CAST(balance AS DOUBLE) * CASE WHEN customer_id % 10 = 0 THEN 2 ELSE 1 END AS balance FROM c
        UNION ALL SELECT -customer_id, 'NEW', CAST(balance AS DOUBLE) FROM c WHERE customer_id % 100 = 1""",
     "update_from_join": "SELECT order_id, o.customer_id, CASE WHEN balance < 0 THEN 'H' ELSE status END AS status FROM o LEFT JOIN c ON o.customer_id = c.customer_id",
-    "update_output_into": "SELECT product_id, price AS old_price, round(price * 0.5, 4) AS new_price FROM p WHERE price > 1500",
+    "update_output_into": "SELECT product_id, price AS old_price, round(price * 0.5, 4) AS new_price FROM p WHERE price > 900",
     "delete_output_into": "SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.order_id = o.order_id AND quantity >= 10)",
     "truncate_insert": "SELECT status, count(*) AS orders, max(order_date) AS last_date FROM o GROUP BY status",
     "set_intersect": "SELECT customer_id FROM o WHERE status = 'F' INTERSECT SELECT customer_id FROM o WHERE status = 'O'",

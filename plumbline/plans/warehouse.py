@@ -266,7 +266,7 @@ def q_update_from_join(spark: SparkSession, d: str) -> DataFrame:
 
 def q_update_output_into(spark: SparkSession, d: str) -> DataFrame:
     """What UPDATE … OUTPUT deleted.x, inserted.x INTO an audit table records."""
-    return products(spark, d).where("price > 1500").select("product_id", F.col("price").alias("old_price"), F.round(F.col("price") * 0.5, 4).alias("new_price"))
+    return products(spark, d).where("price > 900").select("product_id", F.col("price").alias("old_price"), F.round(F.col("price") * 0.5, 4).alias("new_price"))
 
 
 def q_delete_output_into(spark: SparkSession, d: str) -> DataFrame:
