@@ -31,6 +31,8 @@ WORD_LETTERS = 16
 VOCABULARY, MIN_TEXTS = 3000, 5
 LETTERS, LETTER_DIM, LETTER_STATE, WORD_DIM, WORD_STATE, ATTENTION = 256, 8, 12, 8, 8, 8
 EPOCHS, BATCH, RATE = 7, 128, 0.01
+#: Steps of descent that a small sample gets at least, by smaller batches and more rounds.
+LEAST_STEPS = 240
 #: Words whose inputs a worker keeps, and windows that run side by side.
 CACHE_WORDS, SIDE_BY_SIDE = 200_000, 1024
 
@@ -256,7 +258,9 @@ def train(texts: list[str], y: np.ndarray, prior: float, seed: int = 3) -> Netwo
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share)).astype(np.float32)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
-    for epoch in range(EPOCHS):
+    batch = int(np.clip(len(y) // 12, 16, BATCH))
+    epochs = max(EPOCHS, -(-LEAST_STEPS * batch // (2 * len(y))))
+    for epoch in range(epochs):
         net.forget()
         windows, begins = net.text_windows(split)
         words, ends = ["", *net.seen], np.append(begins[1:], len(windows))
@@ -265,7 +269,7 @@ def train(texts: list[str], y: np.ndarray, prior: float, seed: int = 3) -> Netwo
         else:  # a first guess at which windows matter: those with the word that sets toxic texts apart most
             logits = np.array([max(odds.get(part, (0.0, 0))[0] for part in _parts(w)) for w in words])[windows].max(axis=1)
         tops = begins + np.array([logits[lo:hi].argmax() for lo, hi in zip(begins, ends, strict=True)])
-        settled = epoch >= EPOCHS // 2  # before that, both labels weigh the same, so that the rarer one is learnt at all
+        settled = epoch >= epochs // 2  # before that, both labels weigh the same, so that the rarer one is learnt at all
         chosen, target, factor = [], [], []
         for i, (lo, hi) in enumerate(zip(begins, ends, strict=True)):
             picks = {int(tops[i])} if y[i] else {int(tops[i]), int(rng.integers(lo, hi))}
@@ -275,10 +279,10 @@ def train(texts: list[str], y: np.ndarray, prior: float, seed: int = 3) -> Netwo
                 factor.append((weight[i] if settled else 0.5 / (share if y[i] else 1 - share)) / len(picks))
         order = rng.permutation(len(chosen))
         chosen, target, factor = (np.array(x)[order] for x in (chosen, target, factor))
-        rate = RATE * min(1, 1.5 * (1 - epoch / EPOCHS))
-        for k in range(0, len(chosen), BATCH):
+        rate = RATE * min(1, 1.5 * (1 - epoch / epochs))
+        for k in range(0, len(chosen), batch):
             step += 1
-            _descend(net, words, windows[chosen[k : k + BATCH]], target[k : k + BATCH], factor[k : k + BATCH], moments, step, rate)
+            _descend(net, words, windows[chosen[k : k + batch]], target[k : k + batch], factor[k : k + batch], moments, step, rate)
     net.forget()
     return net
 
