@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import diff, graph, registry
 from plumbline.storage import cut, table, values
+from plumbline.tsql import artifacts
+from plumbline.tsql.frontend import Extractor, columns_of_ddl
 
 #: The region from which impact queries start, and the node from which they look upstream.
 SEED, LEAF = "r0", "p1"
@@ -190,3 +192,46 @@ def regex_dependencies(spark: SparkSession, d: str) -> DataFrame:
 
 def name_normalise(spark: SparkSession, d: str) -> DataFrame:
     return values(spark, NAMES, "name").select("name", registry.plain_name(F.col("name")).alias("plain"), registry.schema_and_table(F.col("name")).alias("schema_table"))
+
+
+BASE_DDL = """
+CREATE TABLE STG.dbo.Orders (OrderID INT NOT NULL PRIMARY KEY, CustomerID INT NOT NULL, OrderDate DATETIME NULL, Price DECIMAL(10, 2) NULL, Status NVARCHAR(50) NULL);
+GO
+CREATE VIEW STG.dbo.stg_orders AS SELECT o.OrderID, CAST(o.OrderDate AS DATE) AS OrderDay, CASE WHEN o.Status IN ('shipped', 'delivered') THEN 1 ELSE 0 END AS IsFulfilled FROM STG.dbo.Orders AS o;
+GO
+CREATE VIEW MART.dbo.star AS WITH r AS (SELECT * FROM STG.dbo.stg_orders) SELECT r.*, 1 AS Version FROM r;
+GO
+CREATE VIEW MART.dbo.both AS SELECT OrderID FROM STG.dbo.stg_orders UNION ALL SELECT CustomerID FROM STG.dbo.Orders;
+GO
+CREATE PROCEDURE MART.dbo.refresh AS BEGIN
+  SELECT CustomerID, SUM(Price * 2) AS Total INTO #t FROM STG.dbo.Orders GROUP BY CustomerID;
+  INSERT INTO MART.dbo.totals (Customer, Amount) SELECT t.CustomerID, t.Total FROM #t AS t;
+END
+"""
+
+
+def _extracted(spark: SparkSession) -> Extractor:
+    found = Extractor(spark)
+    found.script(BASE_DDL)
+    return found
+
+
+def schema_registry(spark: SparkSession, d: str) -> DataFrame:
+    """The declared columns of base tables, as DDL gives them."""
+    return _told(columns_of_ddl(spark, BASE_DDL))
+
+
+def extract_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """Every column's transformation and inputs, from the scripts through Catalyst's plans."""
+    return _told(_extracted(spark).tables()[2].withColumn("inputs", F.array_join(F.array_sort("inputs"), ",")))
+
+
+def ol_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """(object, input) pairs of the OpenLineage events."""
+    told = _extracted(spark).tables()[2]
+    return told.select("object", F.explode("inputs").alias("i")).select("object", F.regexp_replace("i", r"\.[^.]*$", "").alias("input")).distinct()
+
+
+def lineage_coverage(spark: SparkSession, d: str) -> DataFrame:
+    _, columns, told = _extracted(spark).tables()
+    return artifacts.coverage(columns, told)

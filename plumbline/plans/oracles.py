@@ -151,6 +151,20 @@ METADATA = {
        FROM (SELECT name, string_split(regexp_replace(trim(name), '[\\[\\]"]', '', 'g'), '.') AS x FROM {_VALUES.format(m.NAMES, 'name')})""",
 }
 
+# What the scripts of BASE_DDL say, worked out by hand.
+METADATA |= {
+    "schema_registry": """SELECT * FROM (VALUES ('STG.dbo.Orders','OrderID','int',FALSE,0),('STG.dbo.Orders','CustomerID','int',FALSE,1),('STG.dbo.Orders','OrderDate','datetime',TRUE,2),
+       ('STG.dbo.Orders','Price','decimal(10,2)',TRUE,3),('STG.dbo.Orders','Status','nvarchar(50)',TRUE,4)) AS t(object, column_name, data_type, nullable, ordinal)""",
+    "extract_lineage": """SELECT * FROM (VALUES ('STG.dbo.stg_orders','OrderID','IDENTITY','STG.dbo.Orders.OrderID'),('STG.dbo.stg_orders','OrderDay','CAST','STG.dbo.Orders.OrderDate'),('STG.dbo.stg_orders','IsFulfilled','CASE','STG.dbo.Orders.Status'),
+       ('MART.dbo.star','OrderID','IDENTITY','STG.dbo.stg_orders.OrderID'),('MART.dbo.star','OrderDay','IDENTITY','STG.dbo.stg_orders.OrderDay'),('MART.dbo.star','IsFulfilled','IDENTITY','STG.dbo.stg_orders.IsFulfilled'),('MART.dbo.star','Version','CONSTANT',''),
+       ('MART.dbo.both','OrderID','UNION','STG.dbo.Orders.CustomerID,STG.dbo.stg_orders.OrderID'),('MART.dbo.refresh#t','CustomerID','IDENTITY','STG.dbo.Orders.CustomerID'),('MART.dbo.refresh#t','Total','ARITHMETIC_AGGREGATION','STG.dbo.Orders.Price'),
+       ('MART.dbo.totals','Customer','IDENTITY','MART.dbo.refresh#t.CustomerID'),('MART.dbo.totals','Amount','IDENTITY','MART.dbo.refresh#t.Total')) AS t(object, column_name, transformation, inputs)""",
+    "ol_inputs": """SELECT * FROM (VALUES ('STG.dbo.stg_orders','STG.dbo.Orders'),('MART.dbo.star','STG.dbo.stg_orders'),('MART.dbo.both','STG.dbo.stg_orders'),('MART.dbo.both','STG.dbo.Orders'),
+       ('MART.dbo.refresh#t','STG.dbo.Orders'),('MART.dbo.totals','MART.dbo.refresh#t')) AS t(object, input)""",
+    "lineage_coverage": """SELECT object, n AS columns, covered, CAST(covered AS DOUBLE) / n AS coverage FROM (VALUES ('STG.dbo.Orders',CAST(5 AS BIGINT),CAST(0 AS BIGINT)),('STG.dbo.stg_orders',3,3),('MART.dbo.star',4,4),('MART.dbo.both',1,1),
+       ('MART.dbo.refresh#t',2,2),('MART.dbo.totals',2,2)) AS t(object, n, covered)""",
+}
+
 
 def oracles() -> dict[str, str]:
     return {k: BASE + (v if v.startswith(",") else v) for k, v in WAREHOUSE.items()} | METADATA

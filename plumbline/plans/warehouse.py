@@ -316,16 +316,3 @@ def correlated_scalar(spark: SparkSession, d: str) -> DataFrame:
     last = own.groupBy("customer_id").agg(F.max("order_date").alias("order_date"))
     return own.join(last, ["customer_id", "order_date"]).select("order_id", "customer_id", "order_date")
 
-
-def schema_registry(spark: SparkSession, d: str) -> DataFrame:
-    """The declared columns of the four base tables, as DDL gives them."""
-    from plumbline.tsql.frontend import columns_of_ddl
-
-    return columns_of_ddl(spark, BASE_DDL)
-
-
-BASE_DDL = """
-CREATE TABLE STG.dbo.Customers (CustomerID INT NOT NULL PRIMARY KEY, CustomerName NVARCHAR(100) NOT NULL, Email NVARCHAR(255) NULL, SignupDate DATE NULL);
-CREATE TABLE STG.dbo.Orders (OrderID INT NOT NULL PRIMARY KEY, CustomerID INT NOT NULL, OrderDate DATE NOT NULL, Status NVARCHAR(50) NULL);
-CREATE TABLE STG.dbo.Products (ProductID INT NOT NULL PRIMARY KEY, ProductName NVARCHAR(100) NOT NULL, Category NVARCHAR(50) NULL, Price DECIMAL(10,2) NULL);
-"""
