@@ -1,4 +1,4 @@
-"""Command line: `extract`, `impact` and `diff`, over folders of Parquet tables."""
+"""Command line: `extract`, `impact`, `diff` and `viz`, over folders of Parquet tables."""
 
 from __future__ import annotations
 
@@ -8,18 +8,21 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline import config, viz
 from plumbline.operators import diff, graph
 from plumbline.sources import scripts
 from plumbline.tsql import artifacts
 from plumbline.tsql.frontend import Extractor
 
 
-def extract(spark: SparkSession, folder: str, out: str, encoding: str = "auto", include: list[str] | None = None, exclude: list[str] | None = None) -> int:
+def extract(spark: SparkSession, folder: str, out: str, encoding: str = "auto", include: list[str] | None = None, exclude: list[str] | None = None, catalogue: str | None = None, database: str = "WarehouseDB") -> int:
     """Writes objects, columns, lineage, edges and events below `out`; returns the number of objects that couldn't be resolved.
 
     Scripts are taken in order of path, and those that name objects not known yet once more at the end, so order is no matter.
     """
-    found = Extractor(spark)
+    found = Extractor(spark, database)
+    for name, declared in config.catalogue(catalogue) if catalogue else []:
+        found.declare(name, [(c, kind, null, n) for n, (c, kind, null) in enumerate(declared)])
     texts = [r["text"] for r in scripts.scan(spark, folder, include, exclude, encoding).orderBy("path").collect()]
     for sql in texts:
         found.script(sql)
@@ -63,7 +66,12 @@ def main(argv: list[str] | None = None) -> int:
     e.add_argument("--encoding", default="auto", choices=scripts.ENCODINGS)
     e.add_argument("--include", action="append")
     e.add_argument("--exclude", action="append")
+    e.add_argument("--catalogue")
+    e.add_argument("--settings")
     e.add_argument("--fail-on-warn", action="store_true")
+    v = commands.add_parser("viz")
+    v.add_argument("folder")
+    v.add_argument("out")
     i = commands.add_parser("impact")
     i.add_argument("selector")
     i.add_argument("folder")
@@ -75,7 +83,14 @@ def main(argv: list[str] | None = None) -> int:
     args = top.parse_args(argv)
     spark = SparkSession.builder.appName("plumbline").getOrCreate()
     if args.command == "extract":
-        return int(extract(spark, args.folder, args.out, args.encoding, args.include, args.exclude) > 0 and args.fail_on_warn)
+        told = config.settings(args.settings, include=args.include, exclude=args.exclude)
+        database = config.dbt_variables(args.folder).get("default_database", told.default_database)
+        missed = extract(spark, args.folder, args.out, args.encoding, told.include, told.exclude + told.ignore, args.catalogue, database)
+        return int(missed > 0 and args.fail_on_warn)
+    if args.command == "viz":
+        with open(args.out, "w", encoding="utf-8") as f:
+            f.write(viz.page(spark.read.parquet(f"{args.folder}/edges")))
+        return 0
     if args.command == "impact":
         impact(spark, args.selector, args.folder, args.max_depth).show(1000, truncate=False)
         return 0
