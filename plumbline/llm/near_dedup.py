@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import cut, written
 from plumbline.llm.exact_dedup import elect
 
 WORDS, PERCENT = 5, 75
@@ -275,13 +275,13 @@ def components(links: DataFrame) -> DataFrame:
     chains are shortened, and links between what is left of the nodes are taken on, until there are none. Minima are
     combined before they are shuffled, so a node of any number of links is as good as another.
     """
-    edges = cut(links.mapInArrow(_local_forest, "a long, b long").distinct())
+    edges = written(links.mapInArrow(_local_forest, "a long, b long").distinct())
     labels = None
     while not edges.isEmpty():
-        up = cut(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
+        up = written(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
         while True:  # a chain's length halves each time
             above = up.select(F.col("node").alias("at"), F.col("root").alias("higher"))
-            longer = cut(up.join(above, up["root"] == above["at"], "left").select("node", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")))
+            longer = written(up.join(above, up["root"] == above["at"], "left").select("node", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")))
             up = longer.select("node", "root")
             if longer.where("moved").isEmpty():
                 break
@@ -290,11 +290,11 @@ def components(links: DataFrame) -> DataFrame:
         else:
             step = up.select(F.col("node").alias("at"), F.col("root").alias("higher"))
             moved = labels.join(step, labels["root"] == step["at"], "left").select("node", F.coalesce("higher", "root").alias("root"))
-            labels = cut(moved.unionByName(up))
+            labels = written(moved.unionByName(up))
         at_a, at_b = (up.select(F.col("node").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
         lifted = edges.join(at_a, edges["a"] == at_a["na"], "left").join(at_b, edges["b"] == at_b["nb"], "left")
         lifted = lifted.select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).where("x <> y")
-        edges = cut(lifted.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edges = written(lifted.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")) if labels is None else labels
 
 
@@ -302,14 +302,14 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     """Of the pairs (a, b) of classes, those whose full sets are similar enough. Texts are read again for those classes only."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = classes.select("cls", F.col("cls_id").alias("w_id"), F.col("text_key").alias("w_key")).join(needed, "cls", "left_semi")
-    wanted = cut(wanted)
+    wanted = written(wanted)
     wanted = F.broadcast(wanted) if wanted.count() <= FEW_CLASSES else wanted
     texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["w_id"]) & (docs["text_key"] == wanted["w_key"]), "inner").select("cls", "text")
     sets = cut(texts.mapInArrow(_sets_of, "cls long, shingles binary"))
     set_a, set_b = (sets.select(F.col("cls").alias(f"k{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = pairs.join(set_a, pairs["a"] == set_a["ka"]).select("a", "b", "set_a")
     both = both.join(set_b, both["b"] == set_b["kb"]).select("a", "b", "set_a", "set_b")
-    return cut(both.mapInArrow(_confirmed, "a long, b long"))
+    return written(both.mapInArrow(_confirmed, "a long, b long"))
 
 
 def _meet(buckets: DataFrame, roots: DataFrame, classes: DataFrame, round_no: int) -> DataFrame:
@@ -349,22 +349,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig_a, sig_b = (classes.select(F.col("cls").alias(f"k{x}"), F.col("signature").alias(f"sig_{x}")) for x in "ab")
     signed = met.join(sig_a, met["a"] == sig_a["ka"]).select("a", "b", "sig_a")
     signed = signed.join(sig_b, signed["b"] == sig_b["kb"]).select("a", "b", "sig_a", "sig_b")
-    tried = cut(signed.mapInArrow(_alike, "a long, b long"))
+    tried = written(signed.mapInArrow(_alike, "a long, b long"))
     links = _confirm(tried, classes, own)
-    roots = cut(components(links))
-    for round_no in range(FOREST_ROUNDS + 1):
-        more = cut(_meet(buckets, roots, classes, round_no).join(tried, ["a", "b"], "left_anti"))
+    roots = written(components(links))
+    round_no = 0
+    while round_no <= FOREST_ROUNDS:
+        more = written(_meet(buckets, roots, classes, round_no).join(tried, ["a", "b"], "left_anti"))
+        round_no += 1
         if more.isEmpty():
+            round_no = max(round_no, FOREST_ROUNDS) if round_no <= FOREST_ROUNDS else round_no  # on to what is left
             continue
         confirmed = _confirm(more, classes, own)
         tried = tried.unionByName(more)
         if not confirmed.isEmpty():
             links = links.unionByName(confirmed)
-            roots = cut(components(links))
+            roots = written(components(links))
     # the smallest id of each component, and so of each class that isn't alone
     of_class = classes.join(roots, classes["cls"] == roots["node"], "left").select("set_key", "cls_id", F.coalesce("root", "cls").alias("root"))
     least = of_class.groupBy("root").agg(F.min("cls_id").alias("component_id")).withColumnRenamed("root", "r")
-    named = cut(of_class.join(least, F.col("root") == F.col("r")).select(F.col("set_key").alias("c_key"), "component_id"))
+    named = written(of_class.join(least, F.col("root") == F.col("r")).select(F.col("set_key").alias("c_key"), "component_id"))
     out = meta.select("id", "n_shingles", "set_key").join(named, F.col("set_key") == F.col("c_key"), "left")
     component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
