@@ -92,6 +92,11 @@ def edge_colours(spark: SparkSession, d: str) -> DataFrame:
     return graph.colour_index(edges(spark, d).where("description <> 'o>p'"), 6).select("from_key", "to_key", "colour")
 
 
+def edge_colours_all(spark: SparkSession, d: str) -> DataFrame:
+    """Colours of every edge; edge_colours leaves out those of lineitem, as its SQL does."""
+    return graph.colour_index(edges(spark, d), 6).select("from_key", "to_key", "colour")
+
+
 CORPUS_NODES = """('mssql://localhost/DW','STG.dbo.Customers','CustomerID'),('mssql://localhost/DW','STG.dbo.Customers','CustomerName'),('mssql://localhost/DW','STG.dbo.Orders','OrderID'),
 ('mssql://localhost/DW','STG.dbo.Orders','CustomerID'),('mssql://localhost/DW','STG.dbo.Orders','Revenue'),('mssql://localhost/DW','MART.dbo.fct_sales','Revenue'),('mssql://localhost/DW','MART.dbo.fct_sales','CustomerID'),('mssql://localhost/DW','MART.dbo.dim_customer','customer_id')"""
 

@@ -123,6 +123,7 @@ METADATA = {
     "table_neighbourhood": "SELECT * FROM (VALUES ('r', 2), ('n', 1), ('c', 0), ('o', 1), ('p', 2)) AS t(\"table\", level)",
     "topo_waves": f"WITH RECURSIVE {EDGES}, r(k, lvl) AS (SELECT s, 0 FROM e WHERE s NOT IN (SELECT t FROM e) UNION SELECT e.t, lvl + 1 FROM r JOIN e ON e.s = k) SELECT k AS key, CAST(max(lvl) AS INTEGER) AS wave FROM r GROUP BY k",
     "edge_colours": f"WITH {EDGES} SELECT s AS from_key, t AS to_key, CAST((row_number() OVER (PARTITION BY s ORDER BY t) - 1) % 6 AS INTEGER) AS colour FROM e WHERE t[1:1] <> 'p'",
+    "edge_colours_all": f"WITH {EDGES} SELECT s AS from_key, t AS to_key, CAST((row_number() OVER (PARTITION BY s ORDER BY t) - 1) % 6 AS INTEGER) AS colour FROM e",
     "wildcard_table": f"SELECT table_name, column_name FROM {_NODES} WHERE lower(table_name) LIKE '%dbo.orders'",
     "wildcard_contains": f"SELECT table_name, column_name FROM {_NODES} WHERE lower(table_name) LIKE 'stg%' AND lower(column_name) LIKE '%customer%'",
     "wildcard_glob": f"SELECT table_name, column_name FROM {_NODES} WHERE lower(column_name) LIKE '%id'",
