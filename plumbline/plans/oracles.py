@@ -167,5 +167,15 @@ METADATA |= {
 }
 
 
+# The table function over all customers and dates, and what calls it.
+_SOLD = """, fa AS (SELECT order_id, customer_id, order_date, status, product_id, quantity, CAST(revenue AS DOUBLE) AS revenue, CAST(CASE WHEN status IN ('F','O') THEN 1 ELSE 0 END AS INTEGER) AS is_fulfilled FROM o JOIN i USING (order_id))"""
+WAREHOUSE |= {
+    "fn_customer_orders_inline_all": _SOLD + " SELECT * FROM fa",
+    "fn_customer_orders_mstvf_all": _SOLD + " SELECT fa.*, CAST(date_diff('day', order_date, now) AS INTEGER) AS days_since_order FROM fa, n",
+    "demo_tvf_proc_all": _SOLD + f""", {_metrics(120)} SELECT fa.customer_id, order_id, product_id, revenue, total_revenue, activity, CASE WHEN total_revenue >= 1000000 THEN 'High' WHEN total_revenue >= 500000 THEN 'Medium' ELSE 'Standard' END AS tier,
+       round(revenue / nullif(total_revenue, 0) * 100, 4) AS percent_of_total FROM fa JOIN mt USING (customer_id) WHERE activity IN ('Active','Recent','Occasional')""",
+}
+
+
 def oracles() -> dict[str, str]:
     return {k: BASE + (v if v.startswith(",") else v) for k, v in WAREHOUSE.items()} | METADATA

@@ -192,9 +192,12 @@ def usp_top_products(spark: SparkSession, d: str) -> DataFrame:
     return sums.orderBy(F.desc("total_revenue"), "product_id").limit(100).withColumn("total_revenue", F.col("total_revenue").cast("double"))
 
 
-def customer_orders(spark: SparkSession, d: str, low: int, high: int, start: str, end: str) -> DataFrame:
-    """The inline table function: sales of a range of customers in a range of dates; both reach the scan of orders."""
-    own = orders(spark, d).where(F.col("customer_id").between(low, high) & F.col("order_date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+def customer_orders(spark: SparkSession, d: str, low: int | None = None, high: int | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The inline table function: sales of all customers and dates, or within the bounds given; these reach the scan of orders."""
+    own = orders(spark, d)
+    for column, least, most in (("customer_id", low, high), ("order_date", start and F.to_date(F.lit(start)), end and F.to_date(F.lit(end)))):
+        own = own if least is None else own.where(F.col(column) >= least)
+        own = own if most is None else own.where(F.col(column) <= most)
     return own.join(items(spark, d), "order_id").select("order_id", "customer_id", "order_date", "status", "product_id", "quantity", "revenue", F.when(F.col("status").isin(*FULFILLED), 1).otherwise(0).alias("is_fulfilled"))
 
 
@@ -206,6 +209,14 @@ def fn_customer_orders_mstvf(spark: SparkSession, d: str) -> DataFrame:
     return fn_customer_orders_inline(spark, d).withColumn("days_since_order", F.datediff(as_of(spark, d), "order_date"))
 
 
+def fn_customer_orders_inline_all(spark: SparkSession, d: str) -> DataFrame:
+    return customer_orders(spark, d).withColumn("revenue", F.col("revenue").cast("double"))
+
+
+def fn_customer_orders_mstvf_all(spark: SparkSession, d: str) -> DataFrame:
+    return fn_customer_orders_inline_all(spark, d).withColumn("days_since_order", F.datediff(as_of(spark, d), "order_date"))
+
+
 def customer_metrics(spark: SparkSession, d: str, months: int = 12) -> DataFrame:
     """Totals per customer over the last months. Lines are summed by order first, so the distinct counts run over fewer rows."""
     now = as_of(spark, d)
@@ -233,15 +244,23 @@ def usp_customer_metrics(spark: SparkSession, d: str) -> DataFrame:
     return customer_metrics(spark, d)
 
 
-def demo_tvf_proc(spark: SparkSession, d: str) -> DataFrame:
-    """The table function joined to the procedure's result, with tiers and each line's share of the customer's revenue."""
+def _tiers(spark: SparkSession, d: str, sold: DataFrame) -> DataFrame:
+    """The table function's rows joined to the procedure's result, with tiers and each line's share of the customer's revenue."""
     metrics = customer_metrics(spark, d, 120).where(F.col("activity").isin("Active", "Recent", "Occasional"))
     tier = F.when(F.col("total_revenue") >= 1_000_000, "High").when(F.col("total_revenue") >= 500_000, "Medium").otherwise("Standard")
     own = metrics.select("customer_id", "total_revenue", "activity", tier.alias("tier"))
-    lines = fn_customer_orders_inline(spark, d).select("customer_id", "order_id", "product_id", "revenue")
+    lines = sold.select("customer_id", "order_id", "product_id", "revenue")
     return lines.join(own, "customer_id").withColumn("percent_of_total", F.round(F.col("revenue") / F.nullif("total_revenue", F.lit(0.0)) * 100, 4))
 
 
+def demo_tvf_proc(spark: SparkSession, d: str) -> DataFrame:
+    return _tiers(spark, d, fn_customer_orders_inline(spark, d))
+
+
+def demo_tvf_proc_all(spark: SparkSession, d: str) -> DataFrame:
+    return _tiers(spark, d, fn_customer_orders_inline_all(spark, d))
+
+
 # data changes, as the state they leave behind
 
 

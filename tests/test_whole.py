@@ -18,3 +18,12 @@ def test_every_edge_gets_a_colour(spark, duck):  # noqa: F811
     edges = catalogue.queries()["graph_edges"](spark, DATA).toPandas()
     assert set(zip(found.from_key, found.to_key)) == set(zip(edges.from_key, edges.to_key)) and len(found) == len(edges)
     assert set(found.colour) == set(range(6))
+
+
+@pytest.mark.parametrize("name", ["fn_customer_orders_inline_all", "fn_customer_orders_mstvf_all"])
+def test_the_table_function_gives_every_line(spark, duck, name):  # noqa: F811
+    assert len(same(spark, duck, name)) == duck.sql("SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchall()[0][0]
+
+
+def test_tiers_of_customers_beyond_any_range(spark, duck):  # noqa: F811
+    assert same(spark, duck, "demo_tvf_proc_all").customer_id.max() > 50
