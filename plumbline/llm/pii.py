@@ -4,21 +4,24 @@ One pattern finds the entities of a text; the pieces between them stay as they a
 from a keyed hash of its type and normalised value, so the same value gets the same replacement everywhere (coreference),
 written in the entity's own format: digits for digits, letters of the same case and script for letters, a name of the
 same gender behind the same title. Replacements are checked over the corpus: a value whose replacement is taken by
-another value, or is itself a value that occurs, draws again with a further salt until none is left.
+another value, or is itself a value that occurs, draws again with a further salt; those left after ROUNDS get places that
+are free, until none is left. Where a format has fewer places than that takes, the run fails.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import cut, written
 
 KEY = "plumbline-surrogates"
-#: Rounds of drawing again. A round leaves over about the square of the share the one before did.
+#: Rounds of drawing again; salts above are places (salt - ROUNDS - 1) in the list of all replacements of a format.
 ROUNDS = 6
+#: Places that one row lists at a time.
+BLOCK = 1 << 16
 #: Values drawn again that may be written into the plan; more are joined to their texts.
 FEW_SALTS = 500
 
@@ -44,6 +47,7 @@ ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HEX = "0123456789abcdef"
+_SCRIPTS = (("Cyrillic", "абвгдежзиклмнопрстуфхцчшэюя"), ("Greek", "αβγδεζηθικλμνξοπρστυφχψω"))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -83,18 +87,57 @@ def _like(text: Column, draws: Column) -> Column:
 
 def surrogate(kind: Column, entity: Column, value: Column, salt: Column) -> Column:
     """The replacement of an entity, in its own format."""
-    return let(_drawn(kind, value, salt, F.greatest(F.char_length(entity), F.lit(32))), lambda draws: _written(kind, entity, value, salt, draws))
+    drawn = F.when(salt > ROUNDS, _placed(radices(kind, entity, value), salt)).otherwise(_drawn(kind, value, salt, F.greatest(F.char_length(entity), F.lit(32))))
+    return let(drawn, lambda draws: _written(kind, entity, value, salt, draws))
+
+
+def _secret_parts(entity: Column) -> tuple[Column, Column, Column]:
+    head = F.regexp_extract(entity, r"\A(?i:[a-z_\-]+\s*[=:]\s*[\"']?)", 0)
+    tail = F.regexp_extract(entity, r"=*[\"']?\z", 0)
+    return head, F.substring(entity, F.char_length(head) + 1, F.char_length(entity) - F.char_length(head) - F.char_length(tail)), tail
+
+
+def _kept(kind: Column, entity: Column) -> Column:
+    """A phone keeps its country code, a key and an account their first four characters, so that format and origin stay plain."""
+    country = F.char_length(F.regexp_extract(entity, r"\A\+\d{1,3}", 0))
+    return F.when(kind == "phone", country).when(kind.isin("access_key", "iban"), 4).otherwise(0)
+
+
+def _is_latin(value: Column) -> Column:
+    return value.rlike(r"\A\p{IsLatin}+\z")
+
+
+def radices(kind: Column, entity: Column, value: Column) -> Column:
+    """How many different results each draw of a replacement can have, in order; their product is the room there is."""
+    of = lambda text: F.transform(F.split(text, ""), _choices)
+    fixed = lambda *n: F.array(*[F.lit(x).cast("long") for x in n])
+    body = _secret_parts(entity)[1]
+    hexed = F.array_repeat(F.lit(16).cast("long"), F.char_length(body))
+    kept = F.char_length(F.regexp_replace(F.substring(entity, F.lit(1), _kept(kind, entity)), r"[^\p{L}\p{N}]", ""))
+    return (
+        F.when(kind == "email", fixed(1 << 56))
+        .when(kind == "ip", fixed(256, 256, 256))
+        .when(kind == "secret", F.when(body.rlike(r"\A[0-9a-f]+\z"), hexed).otherwise(of(body)))
+        .when(kind.startswith("name") & _is_latin(value), fixed(4, 256, 26, 26, 26, 26))
+        .when(kind.startswith("name"), of(value))
+        .otherwise(F.transform(of(value), lambda n, i: F.when(i < kept, F.lit(1).cast("long")).otherwise(n)))
+    )
+
+
+def _placed(radix: Column, salt: Column) -> Column:
+    """The draws that make the replacement of a place: its digits by the radices."""
+    start = F.struct((salt.cast("long") - ROUNDS - 1).alias("rest"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, n: F.struct(F.floor((acc["rest"] - F.pmod(acc["rest"], n)) / n).cast("long").alias("rest"), F.concat(acc["out"], F.array(F.pmod(acc["rest"], n).cast("int"))).alias("out"))
+    return F.concat(F.aggregate(radix, start, step)["out"], F.array_repeat(F.lit(0), 32))
 
 
 def _written(kind: Column, entity: Column, value: Column, salt: Column, draws: Column) -> Column:
-    length = F.char_length(entity)
     hexed = F.array_join(F.transform(F.slice(draws, 1, F.greatest(F.char_length(value), F.lit(1))), lambda n: F.substring(F.lit(_HEX), F.pmod(n, F.lit(16)) + 1, F.lit(1))), "")
-    local = F.concat(F.lit("user."), F.substring(_digest(kind, value, salt, F.lit(0)), 1, 14), F.lit("@example.net"))
+    mailbox = F.when(salt > ROUNDS, F.lpad(F.lower(F.hex(salt.cast("long") - ROUNDS - 1)), 14, "0")).otherwise(F.substring(_digest(kind, value, salt, F.lit(0)), 1, 14))
+    local = F.concat(F.lit("user."), mailbox, F.lit("@example.net"))
     octet = lambda i: F.element_at(draws, F.lit(i)).cast("string")
     address = F.concat(F.lit("10."), octet(1), F.lit("."), octet(2), F.lit("."), octet(3))
-    head = F.regexp_extract(entity, r"\A(?i:[a-z_\-]+\s*[=:]\s*[\"']?)", 0)
-    tail = F.regexp_extract(entity, r"=*[\"']?\z", 0)
-    body = F.substring(entity, F.char_length(head) + 1, length - F.char_length(head) - F.char_length(tail))
+    head, body, tail = _secret_parts(entity)
     hidden = F.when(body.rlike(r"\A[0-9a-f]+\z"), F.substring(hexed, F.lit(1), F.char_length(body))).otherwise(_like(body, draws))
     title = F.regexp_extract(entity, r"\A.*? ", 0)
     number = F.pmod(F.element_at(draws, 1) * 256 + F.element_at(draws, 2), F.lit(32 * 32))
@@ -102,17 +145,14 @@ def _written(kind: Column, entity: Column, value: Column, salt: Column, draws: C
         title, F.element_at(F.array(*map(F.lit, _NAMES[g])), F.pmod(number, F.lit(32)).cast("int") + 1), F.lower(F.element_at(F.array(*map(F.lit, _NAMES[g])), F.floor(number / 32).cast("int") + 1)),
         F.when(salt > 0, F.lower(_like(F.lit("aaaa"), F.slice(draws, 3, 8)))).otherwise(""),
     )
-    # a phone keeps its country code, a key and an account their first four characters, so that format and origin stay plain
-    country = F.char_length(F.regexp_extract(entity, r"\A\+\d{1,3}", 0))
-    first = F.when(kind == "phone", country).when(kind.isin("access_key", "iban"), 4).otherwise(0)
     return (
         F.when(kind == "email", local)
         .when(kind == "ip", address)
         .when(kind == "secret", F.concat(head, hidden, tail))
-        .when(kind.startswith("name") & ~value.rlike(r"\A\p{IsLatin}+\z"), F.concat(title, _like(value, draws)))
+        .when(kind.startswith("name") & ~_is_latin(value), F.concat(title, _like(value, draws)))
         .when(kind == "name_f", named("name_f"))
         .when(kind == "name_m", named("name_m"))
-        .otherwise(_like_kept(entity, value, draws, first))
+        .otherwise(_like_kept(entity, value, draws, _kept(kind, entity)))
     )
 
 
@@ -129,11 +169,19 @@ def _like_kept(entity: Column, value: Column, draws: Column, first: Column) -> C
     return let(drawn_ones, lambda drawn: F.aggregate(F.split(entity, ""), start, lambda acc, c: step(drawn, acc, c))["out"])
 
 
+def _choices(c: Column) -> Column:
+    """How many characters _alike may give for `c`."""
+    made = F.when(c.rlike(r"\A\p{N}\z"), 10).when(c.rlike(r"\A[a-zA-Z]\z"), 26)
+    for script, letters in _SCRIPTS:
+        made = made.when(c.rlike(rf"\A\p{{Is{script}}}\z"), len(letters))
+    return made.when(c.rlike(r"\A\p{L}\z"), 26).otherwise(1).cast("long")
+
+
 def _alike(c: Column, n: Column) -> Column:
     """A drawn character of the kind of `c`: digit, or letter of the same script and case."""
     pick = lambda letters: F.substring(F.lit(letters), F.pmod(n, F.lit(len(letters))) + 1, F.lit(1))
     made = F.when(c.rlike(r"\A\p{N}\z"), pick("0123456789")).when(c.rlike(r"\A[a-z]\z"), pick(_LOWER)).when(c.rlike(r"\A[A-Z]\z"), pick(_UPPER))
-    for script, letters in (("Cyrillic", "абвгдежзиклмнопрстуфхцчшэюя"), ("Greek", "αβγδεζηθικλμνξοπρστυφχψω")):
+    for script, letters in _SCRIPTS:
         made = made.when(c.rlike(rf"\A[\p{{Is{script}}}&&\p{{Lu}}]\z"), pick(letters.upper())).when(c.rlike(rf"\A\p{{Is{script}}}\z"), pick(letters))
     return made.when(c.rlike(r"\A\p{Lu}\z"), pick(_UPPER)).when(c.rlike(r"\A\p{L}\z"), pick(_LOWER)).otherwise(c)
 
@@ -143,24 +191,59 @@ def entities(text: Column) -> Column:
 
 
 def _settled(found: DataFrame) -> DataFrame:
-    """kind, value, salt of the values that must draw again: a few, as replacements are long. `found`: distinct kind, value, shape."""
-    drawn = found.select("kind", "value", "shape", F.lit(0).alias("salt"), surrogate(F.col("kind"), F.col("shape"), F.col("value"), F.lit(0)).alias("given"))
-    taken_value = lambda d: normal_form(F.col("kind"), F.col("given"))
-    drawn = cut(drawn.withColumn("norm", taken_value(drawn)))
+    """kind, value, salt of the values that must draw again: a few, as replacements are long. `found`: distinct kind, value, shape.
+
+    Ends when no replacement is another value's or a value that occurs. What has no character to replace stays as it is.
+    """
+    at = lambda salt: surrogate(F.col("kind"), F.col("shape"), F.col("value"), salt)
+    taken = lambda given: normal_form(F.col("kind"), given)
+    room = F.aggregate(radices(F.col("kind"), F.col("shape"), F.col("value")), F.lit(1.0), lambda a, n: a * n)
+    drawn = found.select("kind", "value", "shape", F.lit(0).cast("long").alias("salt"), at(F.lit(0)).alias("given"))
+    drawn = written(drawn.withColumn("norm", taken(F.col("given"))).drop("given"))
     held = drawn.select("kind", F.col("value").alias("norm"))
-    for salt in range(1, ROUNDS + 1):
+    salt = 0
+    while True:
         # among values of one replacement the smallest keeps it; one that occurs as a value is kept by nobody
         firsts = drawn.groupBy("kind", "norm").agg(F.min("value").alias("owner"), F.count(F.lit(1)).alias("n"))
         real = drawn.select("kind", "norm").distinct().join(held, ["kind", "norm"], "left_semi").withColumn("real", F.lit(True))
         bad = firsts.join(real, ["kind", "norm"], "left").where("n > 1 OR real").withColumnRenamed("kind", "b_kind").withColumnRenamed("norm", "b_norm")
         marked = drawn.join(bad, (F.col("kind") == F.col("b_kind")) & (F.col("norm") == F.col("b_norm")), "left")
         again = F.col("b_kind").isNotNull() & (F.coalesce("real", F.lit(False)) | (F.col("value") != F.col("owner")))
-        new_salt = F.when(again, F.lit(salt)).otherwise(F.col("salt"))
-        redrawn = marked.select("kind", "value", "shape", new_salt.alias("salt"), F.when(again, surrogate(F.col("kind"), F.col("shape"), F.col("value"), F.lit(salt))).otherwise(F.col("given")).alias("given"), again.alias("again"))
-        drawn = cut(redrawn.withColumn("norm", taken_value(redrawn)))
-        if drawn.where("again").isEmpty():
-            break
-    return drawn.where("salt > 0").select("kind", "value", "salt")
+        marked = written(marked.select("kind", "value", "shape", "salt", "norm", again.alias("again")))
+        left = marked.where("again").withColumn("room", room).where("room > 1")
+        if left.isEmpty():
+            return drawn.where("salt > 0").select("kind", "value", "salt")
+        salt += 1
+        if salt <= ROUNDS:
+            moved = left.select("kind", "value", "shape", F.lit(salt).cast("long").alias("salt"))
+        else:
+            moved = _free_places(left, marked.where("NOT again").select("kind", "norm").unionByName(held).distinct(), at, taken)
+        moved = moved.withColumn("given", at(F.col("salt"))).withColumn("norm", taken(F.col("given"))).drop("given")
+        rest = marked.join(left.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", "shape", "salt", "norm")
+        drawn = written(rest.unionByName(moved))
+
+
+def _free_places(left: DataFrame, forbidden: DataFrame, at: Callable[[Column], Column], taken: Callable[[Column], Column]) -> DataFrame:
+    """kind, value, shape, salt of the values `left`, each with a place of its format that isn't forbidden; raises if there are too few.
+
+    Values are of one format if place 0 reads the same. Of as many places as are forbidden and wanted, enough are free.
+    """
+    own = written(left.withColumn("format", taken(at(F.lit(ROUNDS + 1).cast("long")))))
+    sizes = forbidden.groupBy("kind").agg(F.count(F.lit(1)).alias("closed"))
+    formats = own.groupBy("kind", "format").agg(F.count(F.lit(1)).alias("wanted"), F.min(F.struct("value", "shape")).alias("any"), F.max("room").alias("room")).join(sizes, "kind")
+    listed = formats.withColumn("most", F.least(F.col("room"), (F.col("closed") + F.col("wanted")).cast("double")).cast("long"))
+    blocks = listed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1) / BLOCK)))).repartition("kind", "format", "block")
+    places = blocks.withColumn("place", F.explode(F.sequence(F.col("block") * BLOCK, F.least((F.col("block") + 1) * BLOCK, F.col("most")) - 1)))
+    places = places.select("kind", "format", "wanted", F.col("any.value").alias("value"), F.col("any.shape").alias("shape"), (F.col("place") + ROUNDS + 1).alias("salt"))
+    free = places.withColumn("norm", taken(at(F.col("salt")))).join(forbidden, ["kind", "norm"], "left_anti")
+    by_format = Window.partitionBy("kind", "format")
+    free = free.withColumn("rank", F.row_number().over(by_format.orderBy("salt"))).where("rank <= wanted").select("kind", "format", "rank", "salt")
+    ranked = own.select("kind", "value", "shape", "format", F.row_number().over(by_format.orderBy(F.sha2(F.concat_ws("\u0001", F.lit(KEY), "value"), 256))).alias("rank"))
+    moved = written(ranked.join(free, ["kind", "format", "rank"], "left").select("kind", "value", "shape", "format", "salt"))
+    short = moved.where("salt IS NULL").select("kind", "format").first()
+    if short:
+        raise ValueError(f"more values than places: {short['kind']} of the format {short['format']!r}")
+    return moved.drop("format")
 
 
 def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
@@ -185,7 +268,7 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = named.select("_key", "_len", F.concat_ws("\u0001", "kind", normal_form(F.col("kind"), F.col("e"))).alias("name")).distinct()
     maps = named.join(again, "name").groupBy("_key", "_len").agg(F.map_from_entries(F.collect_list(F.struct("name", "salt"))).alias("_salts"))
     beside = keyed.join(maps.withColumnsRenamed({"_key": "_k", "_len": "_l"}), (F.col("_key") == F.col("_k")) & (F.col("_len") == F.col("_l")), "left")
-    return _replaced(beside, docs, F.coalesce("_salts", F.create_map().cast("map<string,int>")), id_col, text_col, keep_columns)
+    return _replaced(beside, docs, F.coalesce("_salts", F.create_map().cast("map<string,bigint>")), id_col, text_col, keep_columns)
 
 
 def _replaced(own: DataFrame, docs: DataFrame, salts: Column | None, id_col: str, text_col: str, keep_columns: bool) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from test_queries import DATA, duck, rows_of  # noqa: F401
 
+from plumbline.llm import pii
 from plumbline.plans import catalogue
 from plumbline.plans.oracles import oracles
 
@@ -27,3 +28,20 @@ def test_the_table_function_gives_every_line(spark, duck, name):  # noqa: F811
 
 def test_tiers_of_customers_beyond_any_range(spark, duck):  # noqa: F811
     assert same(spark, duck, "demo_tvf_proc_all").customer_id.max() > 50
+
+
+def short_names(spark, n):
+    letters = pii._SCRIPTS[0][1]
+    names = [a.upper() + b for a in letters for b in letters][:n]
+    return names, spark.createDataFrame([(k, f"Herr {name} kam") for k, name in enumerate(names)], "doc_id long, text string")
+
+
+def test_a_dense_format_keeps_values_distinct(spark):
+    names, frame = short_names(spark, 340)  # of 729 places, 340 are taken by the names themselves
+    given = [r["text"].split()[1] for r in pii.surrogates(frame).collect()]
+    assert len(set(given)) == len(names) and not set(given) & set(names)
+
+
+def test_a_format_with_too_few_places_raises(spark):
+    with pytest.raises(ValueError, match="more values than places"):
+        pii.surrogates(short_names(spark, 400)[1]).collect()
