@@ -25,6 +25,17 @@ BLOCK = 1 << 16
 #: Values drawn again that may be written into the plan; more are joined to their texts.
 FEW_SALTS = 500
 
+# What a name is made of: capitalised words (hyphens and apostrophes inside, a genitive's 's outside), initials and particles.
+# Words that begin sentences, after a first name word, are none of it.
+_GAP = r"[ \u00A0]{1,3}"
+_WORD = r"\p{Lu}[\p{L}\p{M}]{0,30}+(?:[-'’](?!s\b)\p{L}[\p{L}\p{M}]{0,30}+){0,3}"
+_BEFORE = rf"(?:(?:\p{{Lu}}\.(?:-?\p{{Lu}}\.){{0,3}}|(?:van|von|vom|der|den|de|del|della|di|da|dos|das|du|la|le|ten|ter|zu|zum|zur|bin|ibn|al|el|af|av|y)\b|[dDlL]['’](?=\p{{Lu}}))(?:{_GAP}|(?<=['’.])(?=\p{{Lu}}))){{0,4}}+"
+_OTHER = r"(?!(?:I|A|An|The|He|She|It|We|You|They|His|Her|Their|Our|My|This|That|These|Those|There|In|On|At|But|And|Or|When|While|As|If|Is|Was|Who|What|Has|Had|Will|Said|Mrs|Ms|Mr|Mme|Mlle|Frau|Herr|Sra|Srta|Sr|Dr|Er|Sie|Der|Die|Das|Und|Le|La|El|Y)\b)"
+_NAME = rf"{_BEFORE}{_WORD}(?:{_GAP}{_OTHER}{_BEFORE}{_OTHER}{_WORD}){{0,5}}"
+#: The title of a name, and the words of one that are replaced: each a value of its own, so mentions by any of them corefer.
+_TITLE = r"\A\p{Lu}\p{Ll}+\.?[ \u00A0]{1,3}"
+_PART = rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){_WORD}"
+
 # The patterns of the entity types, in order of precedence. A match may not continue a word or number.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9][A-Za-z0-9\-]{0,62}(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?){1,8}",
@@ -35,8 +46,8 @@ PATTERNS = {
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[.\-]\d{4}(?!\d)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])",
-    "name_f": r"\b(?:Mrs|Ms|Mme|Mlle|Frau|Sra|Srta)\b\.? \p{Lu}\p{L}{1,30}",
-    "name_m": r"\b(?:Mr|Herr|Sr)\b\.? \p{Lu}\p{L}{1,30}",
+    "name_f": rf"\b(?:Mrs|Ms|Mme|Mlle|Frau|Sra|Srta)\b\.?{_GAP}{_NAME}",
+    "name_m": rf"\b(?:Mr|Herr|Sr)\b\.?{_GAP}{_NAME}",
 }
 # What surrogate names are made of, by gender.
 _NAMES = {
@@ -66,7 +77,26 @@ def kind_of(entity: Column) -> Column:
 def normal_form(kind: Column, entity: Column) -> Column:
     """What coreferring mentions have in common: letters and digits of numbers, e-mail addresses in small letters."""
     bare = F.regexp_replace(entity, r"[^\p{L}\p{N}]", "")
-    return F.when(kind.isin("email"), F.lower(entity)).when(kind.isin("ip", "secret"), entity).when(kind.startswith("name"), F.regexp_extract(entity, r"\p{L}+\z", 0)).otherwise(bare)
+    return F.when(kind.isin("email"), F.lower(entity)).when(kind.isin("ip", "secret"), entity).when(kind.startswith("name"), entity).otherwise(bare)
+
+
+def parts_of(entity: Column) -> Column:
+    """The words of a name that are replaced."""
+    return F.regexp_extract_all(F.regexp_replace(entity, _TITLE, ""), F.lit(_PART), F.lit(0))
+
+
+def values_of(kind: Column, entity: Column) -> Column:
+    """(value, shape) of what is replaced in an entity: each word of a name but initials, or the entity as a whole."""
+    return F.when(kind.startswith("name"), F.transform(F.filter(parts_of(entity), lambda p: F.char_length(p) > 1), lambda p: F.struct(p.alias("value"), p.alias("shape")))).otherwise(
+        F.array(F.struct(normal_form(kind, entity).alias("value"), entity.alias("shape")))
+    )
+
+
+def _words_given(text: Column, given: Callable[[Column], Column]) -> Column:
+    """`text` with each of its name words replaced by given(word), the pieces between them kept."""
+    found = F.regexp_extract_all(text, F.lit(_PART), F.lit(0))
+    pieces = F.split(text, _PART, -1)
+    return let(pieces, lambda p: F.concat(F.array_join(F.flatten(F.zip_with(F.slice(p, 1, F.size(p) - 1), found, lambda x, w: F.array(x, given(w)))), ""), F.element_at(p, -1)))
 
 
 def _digest(kind: Column, value: Column, salt: Column, block: Column) -> Column:
@@ -104,7 +134,7 @@ def _kept(kind: Column, entity: Column) -> Column:
 
 
 def _is_latin(value: Column) -> Column:
-    return value.rlike(r"\A\p{IsLatin}+\z")
+    return value.rlike(r"\A[\p{IsLatin}\p{M}'’\-]+\z")
 
 
 def radices(kind: Column, entity: Column, value: Column) -> Column:
@@ -139,17 +169,16 @@ def _written(kind: Column, entity: Column, value: Column, salt: Column, draws: C
     address = F.concat(F.lit("10."), octet(1), F.lit("."), octet(2), F.lit("."), octet(3))
     head, body, tail = _secret_parts(entity)
     hidden = F.when(body.rlike(r"\A[0-9a-f]+\z"), F.substring(hexed, F.lit(1), F.char_length(body))).otherwise(_like(body, draws))
-    title = F.regexp_extract(entity, r"\A.*? ", 0)
     number = F.pmod(F.element_at(draws, 1) * 256 + F.element_at(draws, 2), F.lit(32 * 32))
     named = lambda g: F.concat(
-        title, F.element_at(F.array(*map(F.lit, _NAMES[g])), F.pmod(number, F.lit(32)).cast("int") + 1), F.lower(F.element_at(F.array(*map(F.lit, _NAMES[g])), F.floor(number / 32).cast("int") + 1)),
+        F.element_at(F.array(*map(F.lit, _NAMES[g])), F.pmod(number, F.lit(32)).cast("int") + 1), F.lower(F.element_at(F.array(*map(F.lit, _NAMES[g])), F.floor(number / 32).cast("int") + 1)),
         F.when(salt > 0, F.lower(_like(F.lit("aaaa"), F.slice(draws, 3, 8)))).otherwise(""),
     )
     return (
         F.when(kind == "email", local)
         .when(kind == "ip", address)
         .when(kind == "secret", F.concat(head, hidden, tail))
-        .when(kind.startswith("name") & ~_is_latin(value), F.concat(title, _like(value, draws)))
+        .when(kind.startswith("name") & ~_is_latin(value), _like(value, draws))
         .when(kind == "name_f", named("name_f"))
         .when(kind == "name_m", named("name_m"))
         .otherwise(_like_kept(entity, value, draws, _kept(kind, entity)))
@@ -255,8 +284,8 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     own = docs.withColumn("_found", entities(F.col(text_col)))
     mentions = own.select(F.explode("_found").alias("entity")).groupBy("entity").count().select("entity")
-    typed = mentions.withColumn("kind", kind_of(F.col("entity"))).withColumn("value", normal_form(F.col("kind"), F.col("entity")))
-    found = cut(typed.groupBy("kind", "value").agg(F.min("entity").alias("shape")))
+    typed = mentions.withColumn("kind", kind_of(F.col("entity"))).select("kind", F.inline(values_of(F.col("kind"), F.col("entity"))))
+    found = cut(typed.groupBy("kind", "value").agg(F.min("shape").alias("shape")))
     again = _settled(found).select(F.concat_ws("\u0001", "kind", "value").alias("name"), "salt")
     few = again.limit(FEW_SALTS + 1).collect()
     if len(few) <= FEW_SALTS:
@@ -265,20 +294,33 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # too many to be part of the plan: each text that has such values gets their salts beside it
     keyed = own.withColumn("_key", F.xxhash64(text_col)).withColumn("_len", F.length(text_col))
     named = keyed.select("_key", "_len", F.explode("_found").alias("e")).withColumn("kind", kind_of(F.col("e")))
-    named = named.select("_key", "_len", F.concat_ws("\u0001", "kind", normal_form(F.col("kind"), F.col("e"))).alias("name")).distinct()
+    named = named.select("_key", "_len", "kind", F.inline(values_of(F.col("kind"), F.col("e")))).select("_key", "_len", F.concat_ws("\u0001", "kind", "value").alias("name")).distinct()
     maps = named.join(again, "name").groupBy("_key", "_len").agg(F.map_from_entries(F.collect_list(F.struct("name", "salt"))).alias("_salts"))
     beside = keyed.join(maps.withColumnsRenamed({"_key": "_k", "_len": "_l"}), (F.col("_key") == F.col("_k")) & (F.col("_len") == F.col("_l")), "left")
     return _replaced(beside, docs, F.coalesce("_salts", F.create_map().cast("map<string,bigint>")), id_col, text_col, keep_columns)
 
 
 def _replaced(own: DataFrame, docs: DataFrame, salts: Column | None, id_col: str, text_col: str, keep_columns: bool) -> DataFrame:
+    salt = lambda kind, value: F.lit(0) if salts is None else F.coalesce(F.try_element_at(salts, F.concat_ws("\u0001", kind, value)), F.lit(0))
+
+    def word(kind: Column, w: Column) -> Column:
+        initial = _alike(w, F.element_at(_drawn(kind, w, F.lit(0), F.lit(1)), 1))  # 26 of them can't be kept apart
+        return F.when(F.char_length(w) == 1, initial).otherwise(let(salt(kind, w), lambda s: surrogate(kind, w, w, s)))
+
+    def titled(kind: Column, e: Column) -> Column:
+        return F.concat(F.regexp_extract(e, _TITLE, 0), _words_given(F.regexp_replace(e, _TITLE, ""), lambda w: word(kind, w)))
+
     def given(e: Column) -> Column:
-        salt = lambda kind, value: F.lit(0) if salts is None else F.coalesce(F.try_element_at(salts, F.concat_ws("\u0001", kind, value)), F.lit(0))
-        return let(kind_of(e), lambda kind: let(normal_form(kind, e), lambda value: let(salt(kind, value), lambda s: surrogate(kind, e, value, s))))
+        whole = lambda kind: let(normal_form(kind, e), lambda value: let(salt(kind, value), lambda s: surrogate(kind, e, value, s)))
+        return let(kind_of(e), lambda kind: F.when(kind.startswith("name"), titled(kind, e)).otherwise(whole(kind)))
 
+    # words of a titled name are replaced wherever else the text has them; the first title with a word tells its kind
+    people = F.flatten(F.transform("_found", lambda e: let(kind_of(e), lambda kind: F.when(kind.startswith("name"), F.transform(F.filter(parts_of(e), lambda p: F.char_length(p) > 1), lambda p: F.struct(p.alias("word"), word(kind, p).alias("given")))).otherwise(F.array().cast("array<struct<word:string,given:string>>")))))
+    mentioned = lambda text, known: _words_given(text, lambda w: let(F.array_position(known["word"], w), lambda n: F.when(n > 0, F.try_element_at(known["given"], n.cast("int"))).otherwise(w)))
     pieces = F.split(F.col(text_col), ALL, -1)
-    between = F.transform(F.col("_found"), given)
-    joined = F.concat(F.array_join(F.flatten(F.zip_with(F.slice(pieces, 1, F.size("_found")), between, lambda p, e: F.array(p, e))), ""), F.element_at(pieces, -1))
+    titles = F.exists("_found", lambda e: kind_of(e).startswith("name"))
+    between = F.when(titles, let(people, lambda known: F.transform(pieces, lambda p: mentioned(p, known)))).otherwise(pieces)
+    joined = let(between, lambda left: F.concat(F.array_join(F.flatten(F.zip_with(F.slice(left, 1, F.size("_found")), F.transform(F.col("_found"), given), lambda p, e: F.array(p, e))), ""), F.element_at(left, -1)))
     text = F.when(F.size("_found") > 0, joined).otherwise(F.col(text_col))
     if keep_columns:
         return own.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -1,5 +1,7 @@
 """Queries over whole tables, by their SQL and by what they must not leave out."""
 
+import re
+
 import pytest
 from test_queries import DATA, duck, rows_of  # noqa: F401
 
@@ -45,3 +47,20 @@ def test_a_dense_format_keeps_values_distinct(spark):
 def test_a_format_with_too_few_places_raises(spark):
     with pytest.raises(ValueError, match="more values than places"):
         pii.surrogates(short_names(spark, 400)[1]).collect()
+
+
+def test_whole_names_and_their_later_mentions(spark):
+    texts = [
+        "Mr. John Smith came. Smith said that John's car was Mr. Smith's.", "Mr. O'Brien and Mr. J. Harper met Mrs.  Mary-Ann Jones; O'Brien left.",
+        "Frau von der Leyenberg spoke. Later Leyenberg left.", "Mr. Smith The end, Smithson stays", "Smith without a title",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.surrogates(frame).collect()}
+    for n, gone in ((0, ("John", "Smith")), (1, ("Brien", "Harper", "Mary", "Ann", "Jones")), (2, ("Leyenberg",))):
+        assert not [w for w in gone if w in got[n]], got[n]
+    first, last = got[0].split()[1:3]
+    assert got[0] == f"Mr. {first} {last} came. {last} said that {first}'s car was Mr. {last}'s."
+    assert got[1].split()[1] == got[1].split()[-2] and "Mrs.  " in got[1]
+    assert re.fullmatch(r"[A-Z]\.", got[1].split()[4])
+    assert got[2].startswith("Frau von der ") and got[2].split()[3] == got[2].split()[-2]
+    assert got[3] == f"Mr. {last} The end, Smithson stays" and got[4] == texts[4]
