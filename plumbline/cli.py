@@ -33,7 +33,7 @@ def extract(spark: SparkSession, folder: str, out: str, encoding: str = "auto",
         if open_ones == [k for k, v in found.objects.items() if v[2]]:
             break
     objects, columns, lineage = found.tables()
-    for name, table in (("objects", objects), ("columns", columns), ("lineage", lineage), ("edges", graph.distinct_edges(artifacts.edges(lineage))), ("events", artifacts.events(objects, columns, lineage))):
+    for name, table in (("objects", objects), ("columns", columns), ("lineage", lineage), ("edges", graph.distinct_edges(artifacts.edges(lineage))), ("events", artifacts.events(objects, columns, lineage, dependencies=found.dependencies()))):
         table.write.mode("overwrite").parquet(f"{out}/{name}")
     return sum(v[2] for v in found.objects.values())
 

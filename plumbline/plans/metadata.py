@@ -233,8 +233,18 @@ def extract_lineage(spark: SparkSession, d: str) -> DataFrame:
 
 def ol_inputs(spark: SparkSession, d: str) -> DataFrame:
     """(object, input) pairs of the OpenLineage events."""
-    told = _extracted(spark).tables()[2]
-    return told.select("object", F.explode("inputs").alias("i")).select("object", F.regexp_replace("i", r"\.[^.]*$", "").alias("input")).distinct()
+    found = _extracted(spark)
+    return artifacts.inputs(found.tables()[2], found.dependencies())
+
+
+def ol_column_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """The columnLineage facets of the OpenLineage events, a row an input field."""
+    found = _extracted(spark)
+    facet = "struct<inputFields:array<struct<namespace:string,name:string,field:string>>,transformationType:string>"
+    path = F.get_json_object("event", "$.outputs[0].facets.columnLineage.fields")
+    rows = artifacts.events(*found.tables(), dependencies=found.dependencies()).select(F.col("name").alias("object"), F.explode(F.from_json(path, f"map<string,{facet}>")).alias("column_name", "l"))
+    rows = rows.select("object", "column_name", F.col("l.transformationType").alias("transformation"), F.explode_outer("l.inputFields").alias("i"))
+    return rows.select("object", "column_name", "transformation", F.col("i.name").alias("input"), F.col("i.field").alias("field"))
 
 
 def lineage_coverage(spark: SparkSession, d: str) -> DataFrame:

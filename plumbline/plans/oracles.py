@@ -176,6 +176,11 @@ WAREHOUSE |= {
        round(revenue / nullif(total_revenue, 0) * 100, 4) AS percent_of_total FROM fa JOIN mt USING (customer_id) WHERE activity IN ('Active','Recent','Occasional')""",
 }
 
+METADATA["ol_column_lineage"] = """SELECT * FROM (VALUES ('STG.dbo.stg_orders','OrderID','IDENTITY','STG.dbo.Orders','OrderID'),('STG.dbo.stg_orders','OrderDay','CAST','STG.dbo.Orders','OrderDate'),('STG.dbo.stg_orders','IsFulfilled','CASE','STG.dbo.Orders','Status'),
+       ('MART.dbo.star','OrderID','IDENTITY','STG.dbo.stg_orders','OrderID'),('MART.dbo.star','OrderDay','IDENTITY','STG.dbo.stg_orders','OrderDay'),('MART.dbo.star','IsFulfilled','IDENTITY','STG.dbo.stg_orders','IsFulfilled'),('MART.dbo.star','Version','CONSTANT',NULL,NULL),
+       ('MART.dbo.both','OrderID','UNION','STG.dbo.Orders','CustomerID'),('MART.dbo.both','OrderID','UNION','STG.dbo.stg_orders','OrderID'),('MART.dbo.refresh#t','CustomerID','IDENTITY','STG.dbo.Orders','CustomerID'),('MART.dbo.refresh#t','Total','ARITHMETIC_AGGREGATION','STG.dbo.Orders','Price'),
+       ('MART.dbo.totals','Customer','IDENTITY','MART.dbo.refresh#t','CustomerID'),('MART.dbo.totals','Amount','IDENTITY','MART.dbo.refresh#t','Total')) AS t(object, column_name, transformation, input, field)"""
+
 
 def oracles() -> dict[str, str]:
     return {k: BASE + (v if v.startswith(",") else v) for k, v in WAREHOUSE.items()} | METADATA

@@ -20,12 +20,18 @@ def coverage(columns: DataFrame, lineage: DataFrame) -> DataFrame:
     return grouped.withColumn("coverage", F.round(F.col("covered") / F.col("columns"), 4))
 
 
-def events(objects: DataFrame, columns: DataFrame, lineage: DataFrame, namespace: str = "mssql://localhost") -> DataFrame:
+def inputs(lineage: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:
+    """(object, input) pairs: the objects of the input columns, and the dependencies."""
+    found = lineage.select("object", F.explode("inputs").alias("i")).select("object", F.regexp_replace("i", r"\.[^.]*$", "").alias("input"))
+    return (found if dependencies is None else found.unionByName(dependencies)).distinct()
+
+
+def events(objects: DataFrame, columns: DataFrame, lineage: DataFrame, namespace: str = "mssql://localhost", dependencies: DataFrame | None = None) -> DataFrame:
     """(name, event): one OpenLineage event an object as JSON, with schema, columnLineage and quality facets."""
     fields = columns.groupBy("object").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "column", "data_type"))), lambda c: F.struct(c["column"].alias("name"), c["data_type"].alias("type"))).alias("fields"))
     per = lineage.select("object", "column", F.struct(F.transform("inputs", lambda i: F.struct(F.lit(namespace).alias("namespace"), F.regexp_replace(i, r"\.[^.]*$", "").alias("name"), F.substring_index(i, ".", -1).alias("field"))).alias("inputFields"), F.col("transformation").alias("transformationType")).alias("l"))
     maps = per.groupBy("object").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", "l")))).alias("lineage"))
-    sources = lineage.select("object", F.explode("inputs").alias("i")).groupBy("object").agg(F.array_sort(F.collect_set(F.regexp_replace("i", r"\.[^.]*$", ""))).alias("sources"))
+    sources = inputs(lineage, dependencies).groupBy("object").agg(F.array_sort(F.collect_set("input")).alias("sources"))
     whole = objects.join(fields, "object", "left").join(maps, "object", "left").join(sources, "object", "left").join(coverage(columns, lineage), "object", "left")
     out = F.struct(
         F.lit("COMPLETE").alias("eventType"),

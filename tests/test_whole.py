@@ -1,5 +1,6 @@
 """Queries over whole tables, by their SQL and by what they must not leave out."""
 
+import json
 import re
 
 import pytest
@@ -8,6 +9,8 @@ from test_queries import DATA, duck, rows_of  # noqa: F401
 from plumbline.llm import pii
 from plumbline.plans import catalogue
 from plumbline.plans.oracles import oracles
+from plumbline.tsql import artifacts
+from plumbline.tsql.frontend import Extractor
 
 
 def same(spark, duck, name):  # noqa: F811
@@ -64,3 +67,20 @@ def test_whole_names_and_their_later_mentions(spark):
     assert re.fullmatch(r"[A-Z]\.", got[1].split()[4])
     assert got[2].startswith("Frau von der ") and got[2].split()[3] == got[2].split()[-2]
     assert got[3] == f"Mr. {last} The end, Smithson stays" and got[4] == texts[4]
+
+
+def test_events_name_tables_that_give_no_column(spark):
+    tables = "\nGO\n".join(f"CREATE TABLE S.dbo.{t} (id INT NOT NULL, x INT NULL);" for t in ("base", "joined", "filtered", "inner_one", "listed", "of_cte"))
+    view = """CREATE VIEW S.dbo.v AS WITH c AS (SELECT id FROM S.dbo.of_cte)
+    SELECT b.x FROM S.dbo.base AS b JOIN S.dbo.joined AS j ON j.id = b.id JOIN c ON c.id = b.id
+    WHERE EXISTS (SELECT 1 FROM S.dbo.filtered AS f WHERE f.id = b.id AND f.x IN (SELECT i.x FROM S.dbo.inner_one AS i)) AND b.id IN (SELECT l.id FROM S.dbo.listed AS l)"""
+    found = Extractor(spark)
+    found.script(f"{tables}\nGO\n{view}")
+    want = {f"S.dbo.{t}" for t in ("base", "joined", "filtered", "inner_one", "listed", "of_cte")}
+    events = {r["name"]: json.loads(r["event"]) for r in artifacts.events(*found.tables(), dependencies=found.dependencies()).collect()}
+    assert {i["name"] for i in events["S.dbo.v"]["inputs"]} == want and not events["S.dbo.base"]["inputs"]
+
+
+@pytest.mark.parametrize("name", ["ol_inputs", "ol_column_lineage"])
+def test_openlineage_queries(spark, duck, name):  # noqa: F811
+    same(spark, duck, name)
