@@ -57,6 +57,14 @@ def compare(spark: SparkSession, base: str, head: str, threshold: str = "BREAKIN
     return diff.at_or_above(found, threshold), diff.exit_code(found, threshold)
 
 
+def print_rows(df: DataFrame) -> None:
+    """Prints every row, tab-separated below the names, a partition at a time on the driver. Missing values read NULL; tabs, line ends and backslashes within values are escaped."""
+    plain = lambda v: "NULL" if v is None else str(v).replace("\\", r"\\").replace("\t", r"\t").replace("\n", r"\n").replace("\r", r"\r")
+    print(*df.columns, sep="\t")
+    for row in df.toLocalIterator():
+        print(*map(plain, row), sep="\t")
+
+
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="plumbline")
     commands = top.add_subparsers(dest="command", required=True)
@@ -92,10 +100,10 @@ def main(argv: list[str] | None = None) -> int:
             f.write(viz.page(spark.read.parquet(f"{args.folder}/edges")))
         return 0
     if args.command == "impact":
-        impact(spark, args.selector, args.folder, args.max_depth).show(1000, truncate=False)
+        print_rows(impact(spark, args.selector, args.folder, args.max_depth))
         return 0
     changes, code = compare(spark, args.base, args.head, args.threshold)
-    changes.show(1000, truncate=False)
+    print_rows(changes)
     return code
 
 

@@ -6,6 +6,7 @@ import re
 import pytest
 from test_queries import DATA, duck, rows_of  # noqa: F401
 
+from plumbline import cli
 from plumbline.llm import pii
 from plumbline.plans import catalogue
 from plumbline.plans.oracles import oracles
@@ -84,3 +85,19 @@ def test_events_name_tables_that_give_no_column(spark):
 @pytest.mark.parametrize("name", ["ol_inputs", "ol_column_lineage"])
 def test_openlineage_queries(spark, duck, name):  # noqa: F811
     same(spark, duck, name)
+
+
+def test_the_command_line_prints_every_row(spark, tmp_path, capsys):
+    n = 1500
+    edges = spark.range(n).selectExpr("'db.dbo.t.c' AS from_key", "concat('db.dbo.v.c', id) AS to_key", "'IDENTITY' AS transformation", "'' AS description")
+    edges.write.parquet(str(tmp_path / "graph/edges"))
+    wide = spark.range(n).selectExpr("'db.dbo.v' AS object", "'view' AS object_type", "concat('c', id) AS column", "'int' AS data_type", "true AS nullable", "cast(id AS int) AS ordinal")
+    told = spark.createDataFrame([], "object string, column string, transformation string, inputs array<string>")
+    for name, columns in (("base", wide), ("head", wide.where("ordinal = 0"))):
+        columns.write.parquet(str(tmp_path / name / "columns"))
+        told.write.parquet(str(tmp_path / name / "lineage"))
+    assert cli.main(["impact", "db.dbo.t.c+", str(tmp_path / "graph")]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert len(lines) == n + 1 and lines[0].startswith("from_key\t")
+    assert cli.main(["diff", str(tmp_path / "base"), str(tmp_path / "head")]) == 1
+    assert len(capsys.readouterr().out.splitlines()) == n
