@@ -171,6 +171,11 @@ def diff_summary(spark: SparkSession, d: str) -> DataFrame:
     return diff.summary(diff.changes(catalogue(spark, BASE_COLUMNS), catalogue(spark, HEAD_COLUMNS)).where("change_type IN ('OBJECT_ADDED', 'OBJECT_REMOVED', 'OBJECT_TYPE_CHANGED', 'COLUMN_ADDED', 'COLUMN_REMOVED')"))
 
 
+def diff_summary_all(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of all changes; diff_summary counts five types of them, as its SQL does."""
+    return diff.summary(diff.changes(catalogue(spark, BASE_COLUMNS), catalogue(spark, HEAD_COLUMNS), catalogue_lineage(spark, BASE_LINEAGE), catalogue_lineage(spark, HEAD_LINEAGE)))
+
+
 def _votes(spark: SparkSession) -> DataFrame:
     return registry.tally(values(spark, VOTES, "key, db, weight"))
 

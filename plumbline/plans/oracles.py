@@ -181,6 +181,10 @@ METADATA["ol_column_lineage"] = """SELECT * FROM (VALUES ('STG.dbo.stg_orders','
        ('MART.dbo.both','OrderID','UNION','STG.dbo.Orders','CustomerID'),('MART.dbo.both','OrderID','UNION','STG.dbo.stg_orders','OrderID'),('MART.dbo.refresh#t','CustomerID','IDENTITY','STG.dbo.Orders','CustomerID'),('MART.dbo.refresh#t','Total','ARITHMETIC_AGGREGATION','STG.dbo.Orders','Price'),
        ('MART.dbo.totals','Customer','IDENTITY','MART.dbo.refresh#t','CustomerID'),('MART.dbo.totals','Amount','IDENTITY','MART.dbo.refresh#t','Total')) AS t(object, column_name, transformation, input, field)"""
 
+METADATA["diff_summary_all"] = f"""SELECT severity, change_type, count(*) AS changes FROM (SELECT severity, change_type FROM ({METADATA['diff_objects']}) UNION ALL SELECT severity, change_type FROM ({METADATA['diff_columns']})
+       UNION ALL SELECT severity, change_type FROM ({METADATA['diff_types']}) UNION ALL SELECT severity, change_type FROM ({METADATA['diff_lineage']})
+       UNION ALL SELECT 'POTENTIALLY_BREAKING', 'COLUMN_RENAMED' FROM ({METADATA['diff_renames']})) GROUP BY 1, 2"""
+
 
 def oracles() -> dict[str, str]:
     return {k: BASE + (v if v.startswith(",") else v) for k, v in WAREHOUSE.items()} | METADATA

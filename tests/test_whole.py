@@ -101,3 +101,8 @@ def test_the_command_line_prints_every_row(spark, tmp_path, capsys):
     assert len(lines) == n + 1 and lines[0].startswith("from_key\t")
     assert cli.main(["diff", str(tmp_path / "base"), str(tmp_path / "head")]) == 1
     assert len(capsys.readouterr().out.splitlines()) == n
+
+
+def test_the_summary_counts_every_type_of_change(spark, duck):  # noqa: F811
+    found = same(spark, duck, "diff_summary_all")
+    assert {"COLUMN_RENAMED", "COLUMN_TYPE_CHANGED", "COLUMN_ORDER_CHANGED", "COLUMN_NULLABILITY_CHANGED", "LINEAGE_TYPE_CHANGED", "LINEAGE_INPUTS_CHANGED"} <= set(found.change_type)
