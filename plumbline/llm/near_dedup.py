@@ -337,6 +337,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has no set and no links. A missing id is larger than any other. Rows that repeat an id and a text are one another's
     copies; kept says id = component_id, so it holds for all rows with that id. Other columns are ignored.
     """
+    return _grouped(docs, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text_key, n_shingles, component_id, kept: near_duplicates with the hash of the text that each row has."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     meta = cut(own.withColumn("row_no", F.monotonically_increasing_id()).mapInArrow(_signed, _SIGNED))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_no", "text_key", "bands", "signature")).alias("first")
@@ -368,12 +373,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_class = classes.join(roots, classes["cls"] == roots["node"], "left").select("set_key", "cls_id", F.coalesce("root", "cls").alias("root"))
     least = of_class.groupBy("root").agg(F.min("cls_id").alias("component_id")).withColumnRenamed("root", "r")
     named = written(of_class.join(least, F.col("root") == F.col("r")).select(F.col("set_key").alias("c_key"), "component_id"))
-    out = meta.select("id", "n_shingles", "set_key").join(named, F.col("set_key") == F.col("c_key"), "left")
+    out = meta.select("id", "text_key", "n_shingles", "set_key").join(named, F.col("set_key") == F.col("c_key"), "left")
     component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select("id", "text_key", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each component, that of the smallest id; all columns are kept. Ids must be unique."""
-    gone = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """`docs` with one document of each component, that of the smallest id; all columns are kept.
+
+    A row is known by its id, which may be missing, and its text: of rows that share an id, only near copies go. As in
+    near_duplicates, rows of a component that share its smallest id all stay.
+    """
+    gone = _grouped(docs, id_col, text_col).where("NOT kept").select(F.col("id").alias("_gone"), F.col("text_key").alias("_gone_text"))
+    return docs.join(gone.distinct(), F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(text_col) == F.col("_gone_text")), "left_anti")

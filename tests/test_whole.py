@@ -7,7 +7,7 @@ import pytest
 from test_queries import DATA, duck, rows_of  # noqa: F401
 
 from plumbline import cli
-from plumbline.llm import pii
+from plumbline.llm import near_dedup, pii
 from plumbline.plans import catalogue
 from plumbline.plans.oracles import oracles
 from plumbline.tsql import artifacts
@@ -106,3 +106,16 @@ def test_the_command_line_prints_every_row(spark, tmp_path, capsys):
 def test_the_summary_counts_every_type_of_change(spark, duck):  # noqa: F811
     found = same(spark, duck, "diff_summary_all")
     assert {"COLUMN_RENAMED", "COLUMN_TYPE_CHANGED", "COLUMN_ORDER_CHANGED", "COLUMN_NULLABILITY_CHANGED", "LINEAGE_TYPE_CHANGED", "LINEAGE_INPUTS_CHANGED"} <= set(found.change_type)
+
+
+def test_near_copies_go_by_id_and_text(spark):
+    text = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, text), (2, text + " tail"), (2, "a clean text of other words that no row has"), (None, text + " end"), (None, "one more text of words by itself"), (3, None), (4, "")]
+    frame = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, row_no long")
+    # by brute force: of word sets that meet in three quarters of their union, the one of the smallest id stays
+    words = [set((t or "").split()) for _, t in rows]
+    alike = lambda a, b: bool(words[a]) and 4 * len(words[a] & words[b]) >= 3 * len(words[a] | words[b])
+    order = lambda n: (rows[n][0] is None, rows[n][0] or 0)
+    want = [n for n in range(len(rows)) if all(order(n) <= order(m) for m in range(len(rows)) if alike(n, m))]
+    got = near_dedup.drop_near_duplicates(frame)
+    assert got.columns == frame.columns and sorted(r["row_no"] for r in got.collect()) == want == [0, 2, 4, 5, 6]
