@@ -5,11 +5,14 @@ a place keeps the smallest rank plus fraction that any shingle brings to it. Ran
 is used once, which lowers the estimate's variance below MinHash's. Rank by rank over all shingles at once, a document
 is finished when no later rank can lower any place, which for long texts is after one or two.
 
-Documents with equal shingle sets become one class first. Bands of the classes' signatures give candidates, estimates
-sort out most of the wrong ones, and the rest are confirmed on full sets. Of a band's bucket, first each member meets the
-smallest; what that links is contracted, and only members of buckets that still hold several components meet each other,
-by signature. So a bucket of a thousand near copies costs a thousand comparisons. Links become components by union-find
-within partitions and by contraction between them.
+Documents with equal shingle sets become one class first. Bands of the classes' signatures give buckets. Of a bucket, each
+member meets the smallest, and pairs that estimates don't rule out are confirmed on full sets. What is left are buckets of
+three or more that still hold several components. Their members are searched by an exact set join: only shingles that
+occur in two components can be part of a link, so a class of which they are less than three quarters has none; the
+others, by connected groups of buckets, meet in blocks of a bounded number of shingles, and a block gives a forest of its
+links, never its pairs. Members of a group's main component meet only those outside it, so a group of n near copies costs
+n, and texts that share no more than a common passage drop out by counting. Links become components by union-find within
+partitions and by contraction between them.
 """
 
 from __future__ import annotations
@@ -23,24 +26,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, written
-from plumbline.llm.exact_dedup import elect
 
 WORDS, PERCENT = 5, 75
 #: 24 bands of 4 places: a pair of similarity 0.75 shares none with probability 1e-4, one of 0.8 with 4e-6.
 BANDS, ROWS = 24, 4
 PLACES = BANDS * ROWS
-#: Pairs whose signatures agree on a smaller share of places than this aren't confirmed: 4 deviations below 0.75.
-LEAST_ESTIMATE = 0.56
+#: Pairs whose signatures agree on a smaller share of places aren't confirmed: 8 deviations below 0.75, so chance is no matter.
+LEAST_ESTIMATE = 0.40
 #: Shingles of one batch of documents.
 BATCH_SHINGLES = 150_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
-#: Rounds in which a bucket offers only a forest of its best pairs, before the last offers all that are left.
-FOREST_ROUNDS = 3
 #: Classes whose texts may be found by a broadcast of their ids; more are joined by a shuffle.
 FEW_CLASSES = 50_000
-#: Members of a bucket that one comparison task takes; a larger bucket is dealt out in pairs of such chunks.
-CHUNK = 1000
+#: Members that meet one representative in one group of rows; a larger bucket's are dealt out, with a copy of it for each.
+MEMBERS = 500
+#: Shingles of one side of a block of the exact set join; a class longer than that is a side of its own.
+BLOCK_SHINGLES = 1 << 18
 
 _ARROW = pa.schema(
     [("id", pa.int64()), ("row_no", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())]
@@ -153,88 +155,86 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= LEAST_ESTIMATE))
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch], round_no: int) -> Iterator[pa.RecordBatch]:
-    """Candidates within buckets, from rows sorted by bucket: pairs of different components with a high enough estimate.
-
-    Before round FOREST_ROUNDS a bucket offers a spanning forest of them only, the likeliest pairs first; each round shuffles
-    the order a little more, so that a pair that failed makes room for others.
-    """
-    rest: pa.Table | None = None
+def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None else table
-        marks = np.stack([table.column(c).to_numpy() for c in ("key", "c1", "c2")])
-        changes = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
-        last = int(changes[-1]) if len(changes) else 0
-        if last:
-            yield _compare(table.slice(0, last), np.append(0, changes), round_no)
-        rest = table.slice(last)
-    if rest is not None and len(rest):
-        yield _compare(rest, np.array([0, len(rest)]), round_no)
-
-
-def _compare(table: pa.Table, bounds: np.ndarray, round_no: int) -> pa.RecordBatch:
-    cls, root, chunk, c1, c2 = (table.column(c).to_numpy() for c in ("cls", "root", "chunk", "c1", "c2"))
-    codes = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(-1, PLACES)
-    least, out = LEAST_ESTIMATE * PLACES, [np.zeros((2, 0), dtype=np.int64)]
-    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        own = np.arange(lo, hi)
-        left, right = (own, own) if c1[lo] == c2[lo] else (own[chunk[lo:hi] == c1[lo]], own[chunk[lo:hi] == c2[lo]])
-        found = []
-        for k in range(0, len(left), 64):
-            part = left[k : k + 64]
-            same = (codes[part][:, None, :] == codes[right][None, :, :]).sum(axis=2)
-            near = same >= least
-            near &= root[part][:, None] != root[right][None, :]
-            if c1[lo] == c2[lo]:
-                near &= cls[part][:, None] < cls[right][None, :]
-            i, j = np.nonzero(near)
-            if len(i):
-                found.append(np.stack([part[i], right[j], same[i, j]]))
-        if found:
-            i, j, same = np.concatenate(found, axis=1)
-            if round_no < FOREST_ROUNDS:
-                noise = (_mix((cls[i] ^ (cls[j] << 20)).astype(np.uint64) + np.uint64(round_no)) >> np.uint64(40)).astype(float) / 2**24
-                picked = _forest(root[i], root[j], np.argsort(-(same + 8 * round_no * noise), kind="stable"))
-                i, j = i[picked], j[picked]
-            x, y = cls[i], cls[j]
-            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
-    pairs = np.concatenate(out, axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
-
-
-def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> list[int]:
-    """Places of the pairs that, taken in order, join two sets of roots not yet joined."""
-    up: dict[int, int] = {}
+        sets = [shingle_set(t).view(np.int64) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "n", "shingles"])
 
-    def find(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
 
-    picked = []
-    for k in order.tolist():
-        x, y = find(int(a[k])), find(int(b[k]))
-        if x != y:
-            up[x] = y
-            picked.append(k)
-    return picked
+def _linked(both: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles that share `both` are linked."""
+    return 100 * both >= PERCENT * (n + m - both)
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _against_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of rows (a, part, cls, n, shingles), sorted so that the representative a comes before the members it meets."""
+    first, known = None, np.zeros(0, dtype=np.int64)
     for batch in batches:
-        sets = [shingle_set(t).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.binary())], names=["cls", "shingles"])
-
-
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, ends = batch.column("shingles").values.to_numpy(), batch.column("shingles").offsets.to_numpy()
+        kept: list[tuple[int, int]] = []
+        for k, (a, part, cls) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "part", "cls")), strict=True)):
+            own = values[ends[k] : ends[k + 1]]
+            if (a, part) != first:
+                first, known = (a, part), np.sort(own)
+            elif len(known) and len(own):
+                found = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+                if _linked(found.sum(), len(known), len(own)):
+                    kept.append((a, cls))
+        a, b = zip(*kept, strict=True) if kept else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between components, from rows (team, s, t, outer, cls, root, n, shingles) sorted by block (team, s, t)."""
+    block, rest = None, []
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-            x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        marks = list(zip(*(batch.column(c).to_pylist() for c in ("team", "s", "t")), strict=True))
+        bounds = [0, *(k for k in range(1, len(marks)) if marks[k] != marks[k - 1]), len(marks)] if marks else [0]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            if marks[lo] != block and rest:
+                yield _join_block(rest)
+                rest = []
+            block = marks[lo]
+            rest.append(batch.slice(lo, hi - lo))
+    if rest:
+        yield _join_block(rest)
+
+
+def _join_block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Every outer row against every inner one by an index of the inner rows' shingles; a forest of the links between roots."""
+    table = pa.Table.from_batches(parts).combine_chunks()
+    column = lambda c: table.column(c).to_numpy()
+    outer, root, n = column("outer"), column("root"), column("n")
+    sets = table.column("shingles").chunk(0)
+    values, ends = sets.values.to_numpy(), sets.offsets.to_numpy()
+    lengths = np.diff(ends)
+    inner = np.flatnonzero(~outer)
+    holders = np.repeat(np.arange(len(inner)), lengths[inner])
+    held = np.concatenate([values[ends[k] : ends[k + 1]] for k in inner]) if len(inner) else values[:0]
+    order = np.argsort(held, kind="stable")
+    held, holders = held[order], holders[order]
+    up: dict[int, int] = {}
+    links = []
+    for k in np.flatnonzero(outer):
+        own = values[ends[k] : ends[k + 1]]
+        lo, hi = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
+        sizes = hi - lo
+        at = np.repeat(lo - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
+        both = np.bincount(holders[at], minlength=len(inner))
+        hits = inner[_linked(both, n[k], n[inner]) & (root[inner] != root[k])]
+        for other in set(root[hits].tolist()):
+            a, b = _root(up, int(root[k])), _root(up, other)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                links.append((min(a, b), max(a, b)))
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _root(up: dict[int, int], x: int) -> int:
+    while (y := up.get(x, x)) != x:
+        up[x] = x = up.get(y, y)
+    return x
 
 
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,35 +298,66 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")) if labels is None else labels
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of classes, those whose full sets are similar enough. Texts are read again for those classes only."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = classes.select("cls", F.col("cls_id").alias("w_id"), F.col("text_key").alias("w_key")).join(needed, "cls", "left_semi")
-    wanted = written(wanted)
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW_CLASSES else wanted
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cls, n, shingles) of the wanted classes (cls). Texts are read again for those only."""
+    wanted = written(classes.select("cls", F.col("cls_id").alias("w_id"), F.col("text_key").alias("w_key")).join(wanted, "cls", "left_semi"))
+    n = wanted.count()
+    wanted = F.broadcast(wanted) if n <= FEW_CLASSES else wanted
     texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["w_id"]) & (docs["text_key"] == wanted["w_key"]), "inner").select("cls", "text")
-    sets = cut(texts.mapInArrow(_sets_of, "cls long, shingles binary"))
-    set_a, set_b = (sets.select(F.col("cls").alias(f"k{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    both = pairs.join(set_a, pairs["a"] == set_a["ka"]).select("a", "b", "set_a")
-    both = both.join(set_b, both["b"] == set_b["kb"]).select("a", "b", "set_a", "set_b")
-    return written(both.mapInArrow(_confirmed, "a long, b long"))
+    sets = written(texts.mapInArrow(_sets_of, "cls long, n long, shingles array<long>"))
+    return sets if sets.count() == n else written(sets.dropDuplicates(["cls"]))  # rows that repeat id and text bring more
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of classes, those whose full sets are similar enough.
+
+    A pair costs its second set: the first is sent once to each group of MEMBERS of the classes that meet it.
+    """
+    parts = pairs.groupBy(F.col("a").alias("p_a")).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
+    dealt = pairs.join(parts, F.col("a") == F.col("p_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    asked = dealt.select("a", "part", F.lit(1).alias("nth"), F.col("b").alias("who")).unionByName(dealt.select("a", "part", F.lit(0).alias("nth"), F.col("a").alias("who")).distinct())
+    rows = asked.join(sets, asked["who"] == sets["cls"]).select("a", "part", "nth", "cls", "shingles")
+    return written(rows.repartition("a", "part").sortWithinPartitions("a", "part", "nth").mapInArrow(_against_first, "a long, b long"))
+
+
+def _open(buckets: DataFrame, least: int) -> DataFrame:
+    """Keys of the buckets (key, cls, root) that have `least` members or more and several components, with the smallest member."""
+    grouped = buckets.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("cls").alias("first"), F.count(F.lit(1)).alias("members"))
+    return grouped.where((F.col("members") >= least) & (F.col("lo") < F.col("hi"))).select(F.col("key").alias("o_key"), "first")
 
 
-def _meet(buckets: DataFrame, roots: DataFrame, classes: DataFrame, round_no: int) -> DataFrame:
-    """Pairs (a, b) of members of one bucket that are in different components so far, from buckets of three or more.
+def _searched(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components (roots) of classes that meet in a bucket (key, cls, root), all there are, as a forest.
 
-    In a bucket of two, the pair has met already. The bucket's rows are dealt out in pairs of chunks, so that no task takes
-    more than two chunks' signatures, however large the bucket.
+    Buckets of two have been decided when their members met. A link's shingles are all in two components, so only those count.
     """
-    rooted = buckets.join(roots, buckets["cls"] == roots["node"], "left").select("cls", "key", F.coalesce("root", "cls").alias("root"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 2 AND lo < hi")
-    apart = apart.select(F.col("key").alias("a_key"), F.ceil(F.col("n") / CHUNK).cast("int").alias("k"))
-    members = rooted.join(apart, rooted["key"] == apart["a_key"]).select("cls", "key", "root", "k", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int").alias("chunk"))
-    members = members.join(classes.select(F.col("cls").alias("s_cls"), "signature"), F.col("cls") == F.col("s_cls")).drop("s_cls")
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("key", "cls", "root", "chunk", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "signature")
-    sorted_rows = dealt.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
-    return sorted_rows.mapInArrow(lambda batches: _bucket_pairs(batches, round_no), "a long, b long").distinct()
+    open_keys = _open(buckets, 3)
+    members = buckets.join(open_keys, buckets["key"] == open_keys["o_key"], "left_semi").select("cls", "root").distinct()
+    found = sets.join(members.withColumnRenamed("cls", "m_cls"), F.col("cls") == F.col("m_cls")).select("cls", "root", "n", F.explode("shingles").alias("shingle"))
+    shared = found.groupBy(F.col("shingle").alias("s")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
+    left = found.join(shared, F.col("shingle") == F.col("s"), "left_semi").groupBy("cls", "root", "n").agg(F.collect_list("shingle").alias("shingles"))
+    left = written(left.where(F.size("shingles") * 100 >= F.col("n") * PERCENT))
+    # groups of what is left, by the buckets in which it still meets
+    inside = written(buckets.join(left.select(F.col("cls").alias("l_cls")), F.col("cls") == F.col("l_cls"), "left_semi"))
+    met = _open(inside, 2)
+    stars = inside.join(met, inside["key"] == met["o_key"]).select(F.col("first").alias("a"), F.col("cls").alias("b"))
+    teams = written(components(stars.where("a < b")))
+    named = teams.select(F.col("node").alias("t_cls"), F.col("root").alias("team")).unionByName(teams.select(F.col("root").alias("t_cls"), F.col("root").alias("team")).distinct())
+    rows = left.join(named, F.col("cls") == F.col("t_cls")).select("team", "cls", "root", "n", "shingles")
+    # outside a team's main component a class meets all of the team, within it only those outside
+    of_root = rows.groupBy("team", "root").agg(F.count(F.lit(1)).alias("members"), F.sum(F.size("shingles")).alias("weight"))
+    main = of_root.groupBy("team").agg(F.max(F.struct("members", "root")).alias("top"), F.sum("weight").alias("all"), F.count(F.lit(1)).alias("roots"))
+    outside = of_root.join(main.select(F.col("team").alias("m_team"), F.col("top.root").alias("m_root")), (F.col("team") == F.col("m_team")) & (F.col("root") != F.col("m_root")))
+    weights = outside.groupBy(F.col("team").alias("w_team")).agg(F.sum("weight").alias("outer_weight"))
+    blocks = lambda w: F.greatest(F.ceil(F.col(w) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    shape = main.join(weights, F.col("team") == F.col("w_team")).where("roots > 1").select(F.col("team").alias("n_team"), F.col("top.root").alias("main"), blocks("outer_weight").alias("outers"), blocks("all").alias("inners"))
+    placed = rows.join(shape, F.col("team") == F.col("n_team"))
+    at = lambda parts: F.pmod(F.xxhash64("cls"), F.col(parts)).cast("int")
+    upto = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    outer = placed.where("root <> main").select("team", at("outers").alias("s"), upto("inners").alias("t"), F.lit(True).alias("outer"), "cls", "root", "n", "shingles")
+    inner = placed.select("team", upto("outers").alias("s"), at("inners").alias("t"), F.lit(False).alias("outer"), "cls", "root", "n", "shingles")
+    blocked = outer.unionByName(inner).repartition("team", "s", "t").sortWithinPartitions("team", "s", "t")
+    return written(blocked.mapInArrow(_block_links, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,26 +380,20 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     classes = cut(grouped.select("set_key", F.col("first.row_no").alias("cls"), F.col("first.id").alias("cls_id"), "first.text_key", "first.bands", "first.signature"))
     buckets = classes.select("cls", F.posexplode("bands").alias("band", "value")).select("cls", F.xxhash64("band", "value").alias("key"))
     # each member meets the smallest of its bucket
-    stars = elect(buckets.select((-F.col("cls")).alias("id"), F.col("key").alias("digest"), F.col("cls").alias("row_no"))).where("group_size > 1 AND row_no <> keep_row")
-    met = stars.select(F.col("keep_row").alias("a"), F.col("row_no").alias("b")).distinct()
+    firsts = buckets.groupBy(F.col("key").alias("f_key")).agg(F.min("cls").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1").select("f_key", "first")
+    shared = written(buckets.join(firsts, buckets["key"] == firsts["f_key"]).select("key", "cls", "first"))
+    met = shared.where("first < cls").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
     sig_a, sig_b = (classes.select(F.col("cls").alias(f"k{x}"), F.col("signature").alias(f"sig_{x}")) for x in "ab")
     signed = met.join(sig_a, met["a"] == sig_a["ka"]).select("a", "b", "sig_a")
     signed = signed.join(sig_b, signed["b"] == sig_b["kb"]).select("a", "b", "sig_a", "sig_b")
     tried = written(signed.mapInArrow(_alike, "a long, b long"))
-    links = _confirm(tried, classes, own)
+    sets = _sets(shared.select("cls").distinct(), classes, own)
+    links = _confirm(tried, sets)
     roots = written(components(links))
-    round_no = 0
-    while round_no <= FOREST_ROUNDS:
-        more = written(_meet(buckets, roots, classes, round_no).join(tried, ["a", "b"], "left_anti"))
-        round_no += 1
-        if more.isEmpty():
-            round_no = max(round_no, FOREST_ROUNDS) if round_no <= FOREST_ROUNDS else round_no  # on to what is left
-            continue
-        confirmed = _confirm(more, classes, own)
-        tried = tried.unionByName(more)
-        if not confirmed.isEmpty():
-            links = links.unionByName(confirmed)
-            roots = written(components(links))
+    rooted = written(shared.join(roots, shared["cls"] == roots["node"], "left").select("key", "cls", F.coalesce("root", "cls").alias("root")))
+    more = _searched(rooted, sets)
+    if not more.isEmpty():
+        roots = written(components(links.unionByName(more)))
     # the smallest id of each component, and so of each class that isn't alone
     of_class = classes.join(roots, classes["cls"] == roots["node"], "left").select("set_key", "cls_id", F.coalesce("root", "cls").alias("root"))
     least = of_class.groupBy("root").agg(F.min("cls_id").alias("component_id")).withColumnRenamed("root", "r")
