@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from plumbline.llm import byte_bpe, exact_dedup, near_dedup, packing, pii, quality_model, quality_rules, sharding, toxicity, warc
 from plumbline.llm.common import table
 
@@ -53,7 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {"op1_kd_sharding": op1_kd_sharding, "op2_residual_packing": op2_residual_packing, "op3_exact_dedup": op3_exact_dedup, "op4_recurrent_toxicity": op4_recurrent_toxicity, "op5_surrogates": op5_surrogates, "op6_divergence_rules": op6_divergence_rules, "op7_segment_tree_bpe": op7_segment_tree_bpe, "op8_additive_quality": op8_additive_quality, "op9_super_minhash": op9_super_minhash, "op10_warc": op10_warc, "pipeline": corpus_pipeline.run}
+QUERIES: dict[str, Query] = {"op1_kd_sharding": op1_kd_sharding, "op2_residual_packing": op2_residual_packing, "op3_exact_dedup": op3_exact_dedup, "op4_recurrent_toxicity": op4_recurrent_toxicity, "op5_surrogates": op5_surrogates, "op6_divergence_rules": op6_divergence_rules, "op7_segment_tree_bpe": op7_segment_tree_bpe, "op8_additive_quality": op8_additive_quality, "op9_super_minhash": op9_super_minhash, "op10_warc": op10_warc}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": """
