@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.graph import glob
+
 CHANGE = ("object", "column", "change_type", "severity", "old_value", "new_value")
 # Severities from the mildest.
 SEVERITIES = ("NON_BREAKING", "POTENTIALLY_BREAKING", "BREAKING")
 # Changes of type that lose nothing.
-SAFE = (("INT", "BIGINT"), ("VARCHAR(50)", "VARCHAR(100)"), ("DECIMAL(10,2)", "DECIMAL(18,2)"), ("FLOAT", "DOUBLE"))
+SAFE = (("INT", "BIGINT"), ("DECIMAL(10,2)", "DECIMAL(18,2)"), ("VARCHAR(50)", "VARCHAR(100)"), ("NVARCHAR(50)", "NVARCHAR(100)"))
 
 
 def _change(df: DataFrame, kind: str, severity: Column | str, old: Column | None = None, new: Column | None = None) -> DataFrame:
@@ -38,11 +40,30 @@ def object_changes(base: DataFrame, head: DataFrame) -> DataFrame:
     )
 
 
+#: Database before `schema.table` in the names of inputs, which doesn't count.
+_SHORT = r"^[^.]+\.([^.]+\.[^.]+\.[^.]+)$"
+
+
+def _inputs(lineage: DataFrame) -> Column:
+    """The set of inputs, in small letters and without databases."""
+    return F.array_sort(F.array_distinct(F.transform("inputs", lambda i: F.regexp_replace(F.lower(i), _SHORT, "$1"))))
+
+
+def without(df: DataFrame, patterns: list[str]) -> DataFrame:
+    """Rows of objects whose names fit none of the globs, case aside; a pattern may leave out database and schema."""
+    name = F.lower("object")
+    forms = (name, F.substring_index(name, ".", -2), F.substring_index(name, ".", -1))
+    for pattern in patterns:
+        for form in forms:
+            df = df.where(~form.rlike(glob(pattern.lower())))
+    return df
+
+
 def _named(columns: DataFrame, lineage: DataFrame | None) -> DataFrame:
     own = columns.select(F.lower("object").alias("object"), F.lower("column").alias("column"), "data_type", "nullable", "ordinal")
     if lineage is None:
         return own.withColumn("inputs", F.lit(None).cast("array<string>"))
-    told = lineage.select(F.lower("object").alias("object"), F.lower("column").alias("column"), F.array_sort(F.array_distinct("inputs")).alias("inputs"))
+    told = lineage.select(F.lower("object").alias("object"), F.lower("column").alias("column"), _inputs(lineage).alias("inputs"))
     return own.join(told, ["object", "column"], "left")
 
 
@@ -64,7 +85,7 @@ def renames(base: DataFrame, head: DataFrame, base_lineage: DataFrame | None = N
     o, n = removed.alias("o"), added.alias("n")
     has = F.size(F.coalesce("o.inputs", F.array().cast("array<string>"))) > 0
     score = (
-        F.when(F.col("o.data_type") == F.col("n.data_type"), 2).otherwise(0)
+        F.when(F.upper(F.trim("o.data_type")) == F.upper(F.trim("n.data_type")), 2).otherwise(0)
         + F.when(F.col("o.nullable") == F.col("n.nullable"), 2).otherwise(0)
         + F.when(has & F.col("o.inputs").eqNullSafe(F.col("n.inputs")), 3).when(~has & (F.abs(F.col("o.ordinal") - F.col("n.ordinal")) <= 1), 1).otherwise(0)
         + F.when(precision_of(F.col("o.data_type")) == precision_of(F.col("n.data_type")), 1).otherwise(0)
@@ -80,7 +101,7 @@ def renames(base: DataFrame, head: DataFrame, base_lineage: DataFrame | None = N
 
 def _type_severity(old: Column, new: Column) -> Column:
     a, b = F.upper(old), F.upper(new)
-    same = lambda family: a.startswith(family) & b.startswith(family)
+    same = lambda family: a.contains(family) & b.contains(family)
     safe = F.lit(False)
     for x, y in SAFE:
         safe = safe | ((a == x) & (b == y))
@@ -112,7 +133,7 @@ def column_changes(base: DataFrame, head: DataFrame, base_lineage: DataFrame | N
 
 def lineage_changes(base: DataFrame, head: DataFrame) -> DataFrame:
     """Columns of both versions whose transformation or set of inputs is another."""
-    shape = lambda df, p: df.select(F.lower("object").alias("object"), F.lower("column").alias("column"), F.col("transformation").alias(f"{p}_type"), F.array_sort(F.array_distinct("inputs")).alias(f"{p}_in"))
+    shape = lambda df, p: df.select(F.lower("object").alias("object"), F.lower("column").alias("column"), F.col("transformation").alias(f"{p}_type"), _inputs(df).alias(f"{p}_in"))
     both = shape(base, "old").join(shape(head, "new"), ["object", "column"])
     text = lambda c: F.array_join(c, ",")
     return _change(both.where("old_type <> new_type"), "LINEAGE_TYPE_CHANGED", "POTENTIALLY_BREAKING", F.col("old_type"), F.col("new_type")).unionByName(

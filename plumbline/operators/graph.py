@@ -16,6 +16,8 @@ from plumbline.storage import cut
 
 #: Level of edges whose far end is a seed itself.
 NO_LEVEL = 999999
+#: Depth up to which edges are joined as they are.
+SHORT = 2
 
 
 def node_key(namespace: Column, table: Column, column: Column) -> Column:
@@ -34,11 +36,16 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, seeds: DataFrame, max_depth: int = 0, upstream: bool = False) -> DataFrame:
     """(key, level) of all nodes reached from `seeds` (key), the seeds at level 0; max_depth 0: without limit.
 
-    Frontier by frontier: one join to the edges and one anti-join to what was reached before.
+    Frontier by frontier. Edges are cut once, in partitions by their near end, so a level moves its frontier only. What has
+    been reached is one table of the levels so far, and only the last levels' nodes that an edge could lead back to count.
     """
     ahead, back = ("to_key", "from_key") if upstream else ("from_key", "to_key")
-    steps = edges.select(F.col(ahead).alias("at"), F.col(back).alias("key")).distinct()
+    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     frontier = cut(seeds.select("key").distinct().withColumn("level", F.lit(0)))
+    if max_depth and max_depth <= SHORT:  # a few joins cost less than cutting all edges
+        steps = edges.select(F.col(ahead).alias("at"), F.col(back).alias("key"))
+    else:
+        steps = cut(edges.select(F.col(ahead).alias("at"), F.col(back).alias("key")).repartition(width, "at"))
     reached, depth = frontier, 0
     while (max_depth == 0 or depth < max_depth) and not frontier.isEmpty():
         depth += 1
@@ -80,22 +87,43 @@ def traversal_stats(edges: DataFrame, seeds: DataFrame, table_of: Column) -> Dat
 def waves(edges: DataFrame) -> DataFrame:
     """(key, wave): nodes in order of dependency, all that are ready at once in one wave.
 
-    Where only cycles are left, the smallest key goes next, so every node gets a wave.
+    A node keeps the number of its sources that aren't done; a wave takes the edges of its nodes only. Where only cycles are
+    left, the smallest key of each weakly connected rest goes next, so every node gets a wave and cycles cost no rounds of their own.
     """
-    left = cut(edges.select("from_key", "to_key").where("from_key <> to_key").distinct())
-    rest, wave, done = cut(nodes_of(edges)), 0, None
-    while not rest.isEmpty():
-        blocked = left.select(F.col("to_key").alias("key")).distinct()
-        ready = cut(rest.join(blocked, "key", "left_anti"))
+    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = cut(edges.select("from_key", "to_key").where("from_key <> to_key").distinct().repartition(width, "from_key"))
+    waiting = steps.groupBy(F.col("to_key").alias("key")).agg(F.count(F.lit(1)).alias("open"))
+    rest = cut(nodes_of(edges).join(waiting, "key", "left").select("key", F.coalesce("open", F.lit(0)).alias("open")))
+    wave, done = 0, None
+    ready = cut(rest.where("open <= 0").select("key"))
+    rest = rest.where("open > 0")
+    while True:
         if ready.isEmpty():
-            ready = cut(rest.agg(F.min("key").alias("key")))
+            if rest.isEmpty():
+                return done if done is not None else rest.select("key", F.lit(0).alias("wave"))
+            ready = cut(_smallest(rest, steps))
+            rest = rest.join(ready, "key", "left_anti")
         found = ready.withColumn("wave", F.lit(wave))
         done = found if done is None else done.unionByName(found)
-        rest = cut(rest.join(ready, "key", "left_anti"))
-        gone = ready.select(F.col("key").alias("from_key"))
-        left = cut(left.join(gone, "from_key", "left_anti").join(ready.select(F.col("key").alias("to_key")), "to_key", "left_anti"))
+        less = steps.join(ready.select(F.col("key").alias("from_key")), "from_key").groupBy(F.col("to_key").alias("key")).agg(F.count(F.lit(1)).alias("less"))
+        counted = cut(rest.join(less, "key", "left").select("key", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open")))
+        ready, rest = cut(counted.where("open <= 0").select("key")), counted.where("open > 0")
         wave += 1
-    return done if done is not None else rest.withColumn("wave", F.lit(0))
+
+
+def _smallest(rest: DataFrame, steps: DataFrame) -> DataFrame:
+    """(key): of nodes (key) left in cycles, the smallest of each connected part, by spreading smallest labels and halving ways."""
+    inner = steps.join(rest.select(F.col("key").alias("from_key")), "from_key", "left_semi").join(rest.select(F.col("key").alias("to_key")), "to_key", "left_semi")
+    both = cut(inner.select(F.col("from_key").alias("a"), F.col("to_key").alias("b")).unionByName(inner.select(F.col("to_key").alias("a"), F.col("from_key").alias("b"))))
+    labels = cut(rest.select("key", F.col("key").alias("label")))
+    while True:
+        near = both.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
+        lower = labels.join(near, "key", "left").select("key", "label", F.least("label", "near").alias("low"))
+        further = labels.select(F.col("key").alias("low"), F.col("label").alias("lowest"))  # the label of the label
+        moved = cut(lower.join(further, "low", "left").select("key", F.least("low", "lowest").alias("label"), (F.least("low", "lowest") < F.col("label")).alias("moved")))
+        labels = moved.select("key", "label")
+        if moved.where("moved").isEmpty():
+            return labels.where("key = label").select("key")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -153,16 +181,28 @@ class Selector:
 
 
 def parse_selector(text: str) -> Selector:
-    """`+x` is upstream, `x+` downstream, `+x+` both, `x` downstream."""
+    """`+x` is upstream, `x+` downstream, `+x+` both, `x` downstream.
+
+    x: `table.column`, `schema.table.column`, `database.schema.table.column`, the URI of a column, `table` forms of two or three
+    parts with `.*`, `prefix..text`, or `.text` for `..text`.
+    """
     raw = (text or "").strip()
     up, down = raw.startswith("+"), raw.endswith("+") and len(raw) > 1
     pattern = raw[up : len(raw) - down].strip()
     if not pattern or pattern in (".", ".."):
         return Selector("", error=f"empty selector: {text!r}")
+    if pattern.startswith(".") and not pattern.startswith(".."):
+        pattern = f".{pattern}"
+    parts = [p for p in pattern.split(".") if p]
+    if "://" not in pattern and ".." not in pattern:
+        if pattern.endswith(".*") and len(parts) not in (3, 4):
+            return Selector("", error=f"unsupported wildcard selector: {text!r}; give schema.table.* or database.schema.table.*")
+        if not pattern.endswith(".*") and len(parts) not in (2, 3, 4):
+            return Selector("", error=f"unsupported selector: {text!r}; give table.column, schema.table.column, database.schema.table.column, schema.table.*, ..text or a URI")
     return Selector(pattern, "both" if up and down else "upstream" if up else "downstream")
 
 
-def _glob(pattern: str) -> str:
+def glob(pattern: str) -> str:
     """A glob as a regular expression over a whole value."""
     made = {"*": ".*", "?": "."}
     out, i = "", 0
@@ -179,31 +219,44 @@ def _glob(pattern: str) -> str:
     return rf"(?s)\A{out}\z"
 
 
-def matches(pattern: str, namespace: Column, table: Column, column: Column) -> Column:
+def matches(pattern: str, namespace: Column, table: Column, column: Column, database: str | None = None) -> Column:
     """Whether a node is meant by a selector's pattern, case aside.
 
     `table.*`: all columns of the tables whose name ends in those parts; `prefix..text`: columns that contain the text (or
-    fit it as a glob), of tables or namespaces that start with the prefix; anything else: the key, or keys that contain or fit
-    the text.
+    fit it as a glob), of tables that start with the prefix, or of a namespace if it is a URI; with `*`, `?` or `[` in it: keys that
+    fit as a whole; a URI: that key; two parts: the column of that table of schema dbo; three: of that schema; four: of that
+    database. database: the one meant where the pattern names none; None: any.
     """
     low = pattern.lower()
     space, name, col = F.lower(namespace), F.lower(table), F.lower(column)
-    key = F.concat_ws(".", space, name, col)
-    fits = lambda value, text: value.rlike(_glob(text)) if re.search(r"[*?\[\]]", text) else value.contains(text)
+    fits = lambda value, text: value.rlike(glob(text)) if re.search(r"[*?\[\]]", text) else value.contains(text)
     scheme = re.match(r"([a-z]+://[^.]*)\.?(.*)", low)
     prefix, rest = (scheme[1], scheme[2]) if scheme else ("", low)
     in_space = space.startswith(prefix) if prefix else F.lit(True)
+    own = F.split(name, r"\.")
+    ends = lambda parts: F.slice(own, F.greatest(F.size(own) - len(parts) + 1, F.lit(1)), F.lit(len(parts))) == F.array(*map(F.lit, parts))
     if ".." in low:
         before, _, text = ("." + rest if scheme and rest.startswith(".") else rest).partition("..")
-        if not text:
+        if not text.strip():
             return F.lit(False)
         before = before.strip(".")
-        return in_space & (name.startswith(before) | space.startswith(before) if before else F.lit(True)) & fits(col, text)
+        return in_space & (name.startswith(before) if before else F.lit(True)) & fits(col, text.strip())
     if low.endswith(".*"):
         parts = [p for p in rest[:-2].split(".") if p]
         if not parts:
             return F.lit(False)
-        own = F.split(name, r"\.")
-        tail = F.slice(own, F.greatest(F.size(own) - len(parts) + 1, F.lit(1)), F.lit(len(parts)))
-        return in_space & (tail == F.array(*map(F.lit, parts)))
-    return (key == low) | fits(key, low)
+        # of a name without its database, the last two parts count
+        return in_space & (ends(parts[-3:]) | ((F.size(own) < 3) & ends(parts[-2:])) if len(parts) >= 3 else ends(parts))
+    if scheme:
+        return F.concat_ws(".", space, name, col) == low
+    if re.search(r"[*?\[\]]", low):
+        return F.concat_ws(".", space, name, col).rlike(glob(low))
+    parts = [p for p in low.split(".") if p]
+    told = ["dbo", *parts[:-1]] if len(parts) == 2 else parts[:-1]
+    if len(told) == 2 and database:
+        named = ends([database.lower(), *told]) | ((F.size(own) < 3) & ends(told) & (F.substring_index(space, "/", -1).isin(database.lower(), "")))
+    elif len(told) == 3:
+        named = ends(told) | ((F.size(own) < 3) & ends(told[1:]) & (F.substring_index(space, "/", -1) == told[0]))
+    else:
+        named = ends(told)
+    return named & (col == parts[-1])

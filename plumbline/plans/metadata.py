@@ -1,7 +1,10 @@
-"""Queries of the metadata operators: over a graph that the driver's keys span, and over small catalogues written as rows."""
+"""Queries of the metadata operators: over a graph that the driver's keys span, and over catalogues, names and votes made of its
+tables, beside a few rows of special cases."""
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +22,6 @@ BASE_COLUMNS = """('stg.orders','table','order_id','INT',FALSE,0),('stg.orders',
 HEAD_COLUMNS = """('STG.orders','table','order_id','BIGINT',FALSE,0),('stg.orders','table','customer_id','INT',FALSE,1),('stg.orders','table','amount','DECIMAL(18,2)',FALSE,2),
 ('stg.orders','table','note','VARCHAR(100)',TRUE,3),('stg.orders','table','flag','DATE',TRUE,4),('stg.orders','table','extra','XML',FALSE,9),('mart.sales','view','revenue','DECIMAL(10,2)',TRUE,0),
 ('mart.sales','view','qty','INT',FALSE,1),('mart.sales','view','day','DATE',TRUE,2),('mart.new','table','id','INT',FALSE,0),('mart.flip','view','id','INT',FALSE,0)"""
-COLUMN_NAMES = "object, object_type, column_name, data_type, nullable, ordinal"
 BASE_LINEAGE = "('mart.sales','revenue','AGGREGATION','stg.orders.amount'),('mart.sales','day','IDENTITY','stg.orders.day'),('mart.sales','qty','AGGREGATION','stg.orders.qty,stg.orders.amount')"
 HEAD_LINEAGE = "('mart.sales','revenue','ARITHMETIC','stg.orders.amount'),('mart.sales','day','IDENTITY','stg.orders.order_day'),('mart.sales','qty','AGGREGATION','stg.orders.amount,stg.orders.qty')"
 VOTES = "('table::dbo.a','STG',1),('*::dbo.a','STG',10),('*::dbo.a','EDW',3),('*::dbo.b','EDW',2),('*::dbo.b','STG',2),('*::dbo.c','MART',1),('*::dbo.d','MART',2),('*::dbo.d','EDW',1),('*::dbo.d','MART',3)"
@@ -30,6 +32,38 @@ SCRIPTS = """('a','SELECT * FROM STG.dbo.Orders o JOIN [STG].[dbo].[Items] i ON
 NAMES = "('[STG].[dbo].[Orders]'),('Orders'),('dbo.Orders'),('srv.STG.dbo.Orders'),('\"a\".\"b\"'),(' x ')"
 
 
+#: Relations that both engines read: special cases, and a row per row of the tables in braces. Text that Spark and the oracle share.
+def _rows(literal: str, columns: str, *more: str) -> str:
+    return f"SELECT * FROM (VALUES {literal}) AS t({columns})" + "".join(f" UNION ALL {m}" for m in more)
+
+
+COLUMN_NAMES = "object, object_type, column_name, data_type, nullable, ordinal"
+CORPUS_NODES = """('mssql://localhost/DW','STG.dbo.Customers','CustomerID'),('mssql://localhost/DW','STG.dbo.Customers','CustomerName'),('mssql://localhost/DW','STG.dbo.Orders','OrderID'),
+('mssql://localhost/DW','STG.dbo.Orders','CustomerID'),('mssql://localhost/DW','STG.dbo.Orders','Revenue'),('mssql://localhost/DW','MART.dbo.fct_sales','Revenue'),('mssql://localhost/DW','MART.dbo.fct_sales','CustomerID'),('mssql://localhost/DW','MART.dbo.dim_customer','customer_id')"""
+NODES_SQL = _rows(CORPUS_NODES, "namespace, table_name, column_name", "SELECT 'mssql://localhost/' || c_mktsegment, 'STG.dbo.' || n_name, c_name FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey")
+VOTES_SQL = _rows(VOTES, "key, db, weight", "SELECT '*::dbo.n' || c_nationkey, c_mktsegment, 1 FROM {customer}", "SELECT '*::dbo.c' || o_custkey, o_orderpriority, 3 FROM {orders}")
+HARD_SQL = _rows(HARD, "key, db", "SELECT 'table::dbo.n' || n_nationkey, CASE WHEN n_regionkey = 1 THEN 'EDW' ELSE 'WarehouseDB' END FROM {nation}")
+KEYS_SQL = _rows(KEYS, "key", "SELECT 'table::dbo.n' || n_nationkey FROM {nation}", "SELECT 'view::dbo.c' || c_custkey FROM {customer}")
+TEMPS_SQL = _rows(TEMP_EDGES, "from_key, to_key", "SELECT 'stg.orders.c' || o_custkey, 'p' || o_custkey || '#t.o' || o_orderkey FROM {orders}", "SELECT '#t.o' || l_orderkey, 'mart.parts.p' || l_partkey FROM {lineitem}")
+SCRIPTS_SQL = _rows(SCRIPTS, "name, sql_text", "SELECT 'part' || p_partkey, 'SELECT x FROM [STG].[dbo].[P' || p_partkey || '] AS a /* FROM none */ JOIN dbo.' || p_type || ' ON 1=1 -- JOIN nothing' FROM {part}")
+NAMES_SQL = _rows(NAMES, "name", "SELECT '[DW].[' || c_mktsegment || '].\"' || c_name || '\"' FROM {customer}")
+# an object per brand and type, a column per part; of the second version, parts of some sizes are gone, renamed, retyped, moved or loose
+_PART_OBJECT = "'wh.' || lower(replace(p_brand, '#', '')) || '.' || lower(p_type)"
+BASE_SQL = _rows(BASE_COLUMNS, COLUMN_NAMES, f"SELECT {_PART_OBJECT}, 'table', 'col' || p_partkey, CASE WHEN p_size < 10 THEN 'INT' WHEN p_size < 20 THEN 'VARCHAR(50)' WHEN p_size < 30 THEN 'nvarchar(50)' ELSE 'DECIMAL(10,2)' END, p_size > 25, p_partkey FROM {{part}}")
+HEAD_SQL = _rows(HEAD_COLUMNS, COLUMN_NAMES, f"""SELECT upper({_PART_OBJECT}), CASE WHEN p_type = 'PROMO' THEN 'view' ELSE 'table' END, CASE WHEN p_size = 3 THEN 'named' || p_partkey ELSE 'col' || p_partkey END,
+  CASE WHEN p_size < 5 THEN 'BIGINT' WHEN p_size < 10 THEN 'INT' WHEN p_size = 11 THEN 'VARCHAR(100)' WHEN p_size = 12 THEN 'VARCHAR(20)' WHEN p_size < 20 THEN 'VARCHAR(50)' WHEN p_size = 21 THEN 'NVARCHAR(100)' WHEN p_size < 30 THEN 'nvarchar(50)' WHEN p_size = 40 THEN 'DATE' ELSE 'DECIMAL(10,2)' END,
+  CASE WHEN p_size = 31 THEN FALSE WHEN p_size = 7 THEN TRUE ELSE p_size > 25 END, CASE WHEN p_size = 33 THEN p_partkey + 5 ELSE p_partkey END FROM {{part}} WHERE p_size <> 17""")
+_LINEAGE = "object, column_name, transformation, inputs"
+BASE_LINEAGE_SQL = _rows(BASE_LINEAGE, _LINEAGE, f"SELECT {_PART_OBJECT}, 'col' || p_partkey, CASE WHEN p_size < 20 THEN 'IDENTITY' ELSE 'CAST' END, 'stg.dbo.a.x' || p_size || ',dbo.b.y' FROM {{part}}")
+HEAD_LINEAGE_SQL = _rows(HEAD_LINEAGE, _LINEAGE, f"SELECT {_PART_OBJECT}, 'col' || p_partkey, CASE WHEN p_size < 25 THEN 'IDENTITY' ELSE 'CAST' END, CASE WHEN p_size = 9 THEN 'dbo.b.y' ELSE 'dbo.b.y,STG.dbo.a.x' || p_size END FROM {{part}}")
+
+
+def relation(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    """One of the relations above, with the tables of folder d."""
+    named = {name for _, name, _, _ in Formatter().parse(sql) if name}
+    return spark.sql(sql, **{name: table(spark, d, name) for name in named})
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """region → nation → customer → order → part, by the driver's keys."""
     pair = lambda name, a, x, b, y: table(spark, d, name).select(F.concat(F.lit(a), F.col(x).cast("string")).alias("from_key"), F.concat(F.lit(b), F.col(y).cast("string")).alias("to_key"))
@@ -89,57 +123,61 @@ def topo_waves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edge_colours(spark: SparkSession, d: str) -> DataFrame:
-    return graph.colour_index(edges(spark, d).where("description <> 'o>p'"), 6).select("from_key", "to_key", "colour")
-
-
-def edge_colours_all(spark: SparkSession, d: str) -> DataFrame:
-    """Colours of every edge; edge_colours leaves out those of lineitem, as its SQL does."""
     return graph.colour_index(edges(spark, d), 6).select("from_key", "to_key", "colour")
 
 
-CORPUS_NODES = """('mssql://localhost/DW','STG.dbo.Customers','CustomerID'),('mssql://localhost/DW','STG.dbo.Customers','CustomerName'),('mssql://localhost/DW','STG.dbo.Orders','OrderID'),
-('mssql://localhost/DW','STG.dbo.Orders','CustomerID'),('mssql://localhost/DW','STG.dbo.Orders','Revenue'),('mssql://localhost/DW','MART.dbo.fct_sales','Revenue'),('mssql://localhost/DW','MART.dbo.fct_sales','CustomerID'),('mssql://localhost/DW','MART.dbo.dim_customer','customer_id')"""
-
-
-def _matching(spark: SparkSession, pattern: str) -> DataFrame:
-    nodes = values(spark, CORPUS_NODES, "namespace, table_name, column_name")
+def _matching(spark: SparkSession, d: str, pattern: str) -> DataFrame:
+    nodes = relation(spark, d, NODES_SQL)
     return nodes.where(graph.matches(pattern, F.col("namespace"), F.col("table_name"), F.col("column_name"))).select("table_name", "column_name")
 
 
 def wildcard_table(spark: SparkSession, d: str) -> DataFrame:
-    return _matching(spark, "dbo.Orders.*")
+    return _matching(spark, d, "dbo.Orders.*")
 
 
 def wildcard_contains(spark: SparkSession, d: str) -> DataFrame:
-    return _matching(spark, "STG..customer")
+    return _matching(spark, d, "STG..customer")
 
 
 def wildcard_glob(spark: SparkSession, d: str) -> DataFrame:
-    return _matching(spark, "..*id")
+    return _matching(spark, d, "..*id")
 
 
 def wildcard_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return _matching(spark, "mssql://localhost/DW.MART.dbo.fct_sales.*")
+    return _matching(spark, d, "mssql://localhost/DW.MART.dbo.fct_sales.*")
+
 
+def wildcard_space(spark: SparkSession, d: str) -> DataFrame:
+    return _matching(spark, d, "mssql://localhost/BUILDING..customer#0000000?5*")
 
-def _temp_edges(spark: SparkSession) -> DataFrame:
-    return values(spark, TEMP_EDGES, "from_key, to_key").select("*", F.lit("IDENTITY").alias("transformation"), F.lit("").alias("description"))
+
+def selector_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Columns that selectors of two, three and four parts name; `id` doesn't mean `id_old`."""
+    out = None
+    for pattern in ("Orders.CustomerID", "dbo.Customers.customerid", "MART.dbo.fct_sales.revenue", "STG.dbo.nation_3.Customer#000000011", "dbo.Orders.Custom"):
+        found = _matching(spark, d, pattern).withColumn("selector", F.lit(pattern))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _temp_edges(spark: SparkSession, d: str) -> DataFrame:
+    return relation(spark, d, TEMPS_SQL).select("*", F.lit("IDENTITY").alias("transformation"), F.lit("").alias("description"))
 
 
 def temp_bypass_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.bypass_temps(_temp_edges(spark), F.col("key").contains("#")).select("from_key", "to_key")
+    return graph.bypass_temps(_temp_edges(spark, d), F.col("key").contains("#")).select("from_key", "to_key")
 
 
 def temp_owner_unique(spark: SparkSession, d: str) -> DataFrame:
-    return graph.resolve_temps(_temp_edges(spark)).select("from_key", "to_key")
+    return graph.resolve_temps(_temp_edges(spark, d)).select("from_key", "to_key")
 
 
-def catalogue(spark: SparkSession, rows: str) -> DataFrame:
-    return values(spark, rows, COLUMN_NAMES).withColumnRenamed("column_name", "column")
+def _catalogues(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(relation(spark, d, sql).withColumnRenamed("column_name", "column") for sql in (BASE_SQL, HEAD_SQL))
 
 
-def catalogue_lineage(spark: SparkSession, rows: str) -> DataFrame:
-    return values(spark, rows, "object, column_name, transformation, inputs").withColumnRenamed("column_name", "column").withColumn("inputs", F.split("inputs", ","))
+def _lineages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(relation(spark, d, sql).withColumnRenamed("column_name", "column").withColumn("inputs", F.split("inputs", ",")) for sql in (BASE_LINEAGE_SQL, HEAD_LINEAGE_SQL))
 
 
 def _told(df: DataFrame) -> DataFrame:
@@ -147,61 +185,57 @@ def _told(df: DataFrame) -> DataFrame:
 
 
 def diff_objects(spark: SparkSession, d: str) -> DataFrame:
-    return _told(diff.object_changes(catalogue(spark, BASE_COLUMNS), catalogue(spark, HEAD_COLUMNS)))
+    return _told(diff.object_changes(*_catalogues(spark, d)))
 
 
 def diff_columns(spark: SparkSession, d: str) -> DataFrame:
-    found = diff.column_changes(catalogue(spark, BASE_COLUMNS), catalogue(spark, HEAD_COLUMNS))
-    return _told(found.where("change_type IN ('COLUMN_ADDED', 'COLUMN_REMOVED', 'COLUMN_ORDER_CHANGED', 'COLUMN_NULLABILITY_CHANGED')").select("object", "column", "change_type", "severity"))
+    """All changes of columns; those of types are in diff_types with their values."""
+    return _told(diff.column_changes(*_catalogues(spark, d)).select("object", "column", "change_type", "severity"))
 
 
 def diff_types(spark: SparkSession, d: str) -> DataFrame:
-    return _told(diff.column_changes(catalogue(spark, BASE_COLUMNS), catalogue(spark, HEAD_COLUMNS)).where("change_type = 'COLUMN_TYPE_CHANGED'"))
+    return _told(diff.column_changes(*_catalogues(spark, d)).where("change_type = 'COLUMN_TYPE_CHANGED'"))
 
 
 def diff_lineage(spark: SparkSession, d: str) -> DataFrame:
-    return _told(diff.lineage_changes(catalogue_lineage(spark, BASE_LINEAGE), catalogue_lineage(spark, HEAD_LINEAGE)))
+    return _told(diff.lineage_changes(*_lineages(spark, d)))
 
 
 def diff_renames(spark: SparkSession, d: str) -> DataFrame:
-    return diff.renames(catalogue(spark, BASE_COLUMNS), catalogue(spark, HEAD_COLUMNS))
+    return diff.renames(*_catalogues(spark, d))
 
 
 def diff_summary(spark: SparkSession, d: str) -> DataFrame:
-    return diff.summary(diff.changes(catalogue(spark, BASE_COLUMNS), catalogue(spark, HEAD_COLUMNS)).where("change_type IN ('OBJECT_ADDED', 'OBJECT_REMOVED', 'OBJECT_TYPE_CHANGED', 'COLUMN_ADDED', 'COLUMN_REMOVED')"))
-
-
-def diff_summary_all(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of all changes; diff_summary counts five types of them, as its SQL does."""
-    return diff.summary(diff.changes(catalogue(spark, BASE_COLUMNS), catalogue(spark, HEAD_COLUMNS), catalogue_lineage(spark, BASE_LINEAGE), catalogue_lineage(spark, HEAD_LINEAGE)))
+    """Counts of all changes, with the lineage of both versions."""
+    return diff.summary(diff.changes(*_catalogues(spark, d), *_lineages(spark, d)))
 
 
-def _votes(spark: SparkSession) -> DataFrame:
-    return registry.tally(values(spark, VOTES, "key, db, weight"))
+def _votes(spark: SparkSession, d: str) -> DataFrame:
+    return registry.tally(relation(spark, d, VOTES_SQL))
 
 
 def db_votes(spark: SparkSession, d: str) -> DataFrame:
-    return _votes(spark)
+    return _votes(spark, d)
 
 
 def db_leader(spark: SparkSession, d: str) -> DataFrame:
-    return registry.leaders(_votes(spark))
+    return registry.leaders(_votes(spark, d))
 
 
 def registry_promote(spark: SparkSession, d: str) -> DataFrame:
-    return registry.promoted(_votes(spark))
+    return registry.promoted(_votes(spark, d))
 
 
 def registry_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return registry.resolve(values(spark, KEYS, "key"), values(spark, HARD, "key, db"), _votes(spark), "DEFAULTDB")
+    return registry.resolve(relation(spark, d, KEYS_SQL), relation(spark, d, HARD_SQL), _votes(spark, d), "DEFAULTDB")
 
 
 def regex_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, SCRIPTS, "name, sql_text").select("name", F.explode(registry.referenced(F.col("sql_text"))).alias("dependency"))
+    return relation(spark, d, SCRIPTS_SQL).select("name", F.explode(registry.referenced(F.col("sql_text"))).alias("dependency"))
 
 
 def name_normalise(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, NAMES, "name").select("name", registry.plain_name(F.col("name")).alias("plain"), registry.schema_and_table(F.col("name")).alias("schema_table"))
+    return relation(spark, d, NAMES_SQL).select("name", registry.plain_name(F.col("name")).alias("plain"), registry.schema_and_table(F.col("name")).alias("schema_table"))
 
 
 BASE_DDL = """
@@ -233,7 +267,7 @@ def schema_registry(spark: SparkSession, d: str) -> DataFrame:
 
 def extract_lineage(spark: SparkSession, d: str) -> DataFrame:
     """Every column's transformation and inputs, from the scripts through Catalyst's plans."""
-    return _told(_extracted(spark).tables()[2].withColumn("inputs", F.array_join(F.array_sort("inputs"), ",")))
+    return _told(_extracted(spark).tables()[2].drop("description").withColumn("inputs", F.array_join(F.array_sort("inputs"), ",")))
 
 
 def ol_inputs(spark: SparkSession, d: str) -> DataFrame:

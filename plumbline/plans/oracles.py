@@ -13,7 +13,7 @@ so AS (SELECT order_id, customer_id, order_date, CAST(CASE WHEN status IN ('F','
 sc AS (SELECT customer_id, customer_name, CASE WHEN strpos(customer_name, '#') > 0 THEN substr(customer_name, strpos(customer_name, '#') + 1) END AS name_tail, segment FROM c),
 s AS (SELECT i.order_id, line_no, order_date, customer_id, product_id, quantity, revenue FROM i JOIN o ON i.order_id = o.order_id),
 f AS (SELECT order_id, customer_id, order_date, status, product_id, quantity, CAST(revenue AS DOUBLE) AS revenue, CAST(CASE WHEN status IN ('F','O') THEN 1 ELSE 0 END AS INTEGER) AS is_fulfilled
-      FROM o JOIN i USING (order_id) WHERE customer_id BETWEEN 1 AND 50 AND order_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'),
+      FROM o JOIN i USING (order_id)),
 dy AS (SELECT order_date, CAST(sum(quantity) AS BIGINT) AS total_quantity, CAST(sum(revenue) AS DOUBLE) AS total_revenue FROM s GROUP BY order_date)
 """
 
@@ -91,24 +91,52 @@ d AS (SELECT k, min(lvl) AS lvl FROM r GROUP BY k)
 SELECT e.s AS from_key, e.t AS to_key, '{direction}' AS direction, CAST(coalesce(nullif(df.lvl, 0), 999999) AS INTEGER) AS level FROM e JOIN d dn ON dn.k = e.{near} LEFT JOIN d df ON df.k = e.{far} {limit}"""
 
 
-_VALUES = "(SELECT * FROM (VALUES {}) AS t({}))"
-_B, _H = _VALUES.format(m.BASE_COLUMNS, m.COLUMN_NAMES), _VALUES.format(m.HEAD_COLUMNS, m.COLUMN_NAMES)
-CATALOGUES = f"""WITH b AS (SELECT lower(object) AS object, object_type, column_name, data_type, nullable, ordinal FROM {_B}), h AS (SELECT lower(object) AS object, object_type, column_name, data_type, nullable, ordinal FROM {_H}),
-rn(object, old_column, new_column) AS (VALUES ('stg.orders', 'customer', 'customer_id')),
+_TABLES = "region nation customer supplier part orders lineitem".split()
+
+
+def _of(sql: str) -> str:
+    return "(" + sql.format(**{t: t for t in _TABLES}) + ")"
+
+
+_B, _H = (f"(SELECT lower(object) AS object, object_type, lower(column_name) AS column_name, data_type, nullable, ordinal FROM {_of(x)})" for x in (m.BASE_SQL, m.HEAD_SQL))
+_SAFE = "(('INT','BIGINT'), ('DECIMAL(10,2)','DECIMAL(18,2)'), ('VARCHAR(50)','VARCHAR(100)'), ('NVARCHAR(50)','NVARCHAR(100)'))"
+_CATALOGUES = f"""WITH b AS {_B}, h AS {_H},
+gone AS (SELECT * FROM b WHERE object IN (SELECT object FROM h) AND NOT EXISTS (SELECT 1 FROM h WHERE h.object = b.object AND h.column_name = b.column_name)),
+come AS (SELECT * FROM h WHERE object IN (SELECT object FROM b) AND NOT EXISTS (SELECT 1 FROM b WHERE b.object = h.object AND b.column_name = h.column_name)),
+sc AS (SELECT gone.object, gone.column_name AS old_column, come.column_name AS new_column, gone.ordinal AS place, CASE WHEN upper(trim(gone.data_type)) = upper(trim(come.data_type)) THEN 2 ELSE 0 END + CASE WHEN gone.nullable = come.nullable THEN 2 ELSE 0 END
+  + $LINEAGE + CASE WHEN regexp_extract(gone.data_type, '\\(([^)]*)\\)', 1) = regexp_extract(come.data_type, '\\(([^)]*)\\)', 1) THEN 1 ELSE 0 END AS score FROM gone JOIN come ON gone.object = come.object $JOINS),
+top AS (SELECT *, count(*) OVER (PARTITION BY object, old_column) AS ties FROM (SELECT *, max(score) OVER (PARTITION BY object, old_column) AS best FROM sc) WHERE score = best AND score >= 4),
+rn AS (SELECT object, old_column, new_column, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY object, new_column ORDER BY score DESC, place, old_column) AS nth FROM top WHERE ties = 1) WHERE nth = 1),
 pairs AS (SELECT b.object, h.column_name, b.data_type AS bt, h.data_type AS ht, b.nullable AS bn, h.nullable AS hn, b.ordinal AS bo, h.ordinal AS ho
   FROM b LEFT JOIN rn ON b.object = rn.object AND b.column_name = rn.old_column JOIN h ON h.object = b.object AND h.column_name = coalesce(rn.new_column, b.column_name)),
-added AS (SELECT * FROM h WHERE object IN (SELECT object FROM b) AND NOT EXISTS (SELECT 1 FROM b WHERE b.object = h.object AND b.column_name = h.column_name) AND column_name NOT IN (SELECT new_column FROM rn)),
-removed AS (SELECT * FROM b WHERE object IN (SELECT object FROM h) AND NOT EXISTS (SELECT 1 FROM h WHERE h.object = b.object AND h.column_name = b.column_name) AND column_name NOT IN (SELECT old_column FROM rn)),
 ob AS (SELECT object, CAST(NULL AS VARCHAR) AS column_name, 'OBJECT_ADDED' AS change_type, 'NON_BREAKING' AS severity, CAST(NULL AS VARCHAR) AS old_value, CAST(NULL AS VARCHAR) AS new_value FROM h WHERE object NOT IN (SELECT object FROM b) GROUP BY object
   UNION ALL SELECT object, NULL, 'OBJECT_REMOVED', 'BREAKING', NULL, NULL FROM b WHERE object NOT IN (SELECT object FROM h) GROUP BY object
-  UNION ALL SELECT b.object, NULL, 'OBJECT_TYPE_CHANGED', 'BREAKING', max(b.object_type), max(h.object_type) FROM b JOIN h ON b.object = h.object GROUP BY b.object HAVING max(b.object_type) <> max(h.object_type)),
-co AS (SELECT object, column_name, 'COLUMN_ADDED' AS change_type, 'POTENTIALLY_BREAKING' AS severity FROM added UNION ALL SELECT object, column_name, 'COLUMN_REMOVED', 'BREAKING' FROM removed
+  UNION ALL SELECT x.object, NULL, 'OBJECT_TYPE_CHANGED', 'BREAKING', x.t, y.t FROM (SELECT object, max(object_type) AS t FROM b GROUP BY object) x JOIN (SELECT object, max(object_type) AS t FROM h GROUP BY object) y ON x.object = y.object AND x.t <> y.t),
+ty AS (SELECT object, column_name, 'COLUMN_TYPE_CHANGED' AS change_type, CASE WHEN (upper(bt), upper(ht)) IN {_SAFE} THEN 'NON_BREAKING'
+  WHEN (upper(bt) LIKE '%VARCHAR%' AND upper(ht) LIKE '%VARCHAR%') OR (upper(bt) LIKE '%DECIMAL%' AND upper(ht) LIKE '%DECIMAL%') THEN 'POTENTIALLY_BREAKING' ELSE 'BREAKING' END AS severity, bt AS old_value, ht AS new_value FROM pairs WHERE bt <> ht),
+co AS (SELECT object, column_name, 'COLUMN_ADDED' AS change_type, 'POTENTIALLY_BREAKING' AS severity FROM come WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.object = come.object AND rn.new_column = come.column_name)
+  UNION ALL SELECT object, column_name, 'COLUMN_REMOVED', 'BREAKING' FROM gone WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.object = gone.object AND rn.old_column = gone.column_name)
+  UNION ALL SELECT object, new_column, 'COLUMN_RENAMED', 'POTENTIALLY_BREAKING' FROM rn UNION ALL SELECT object, column_name, change_type, severity FROM ty
   UNION ALL SELECT object, column_name, 'COLUMN_ORDER_CHANGED', 'POTENTIALLY_BREAKING' FROM pairs WHERE bo <> ho
   UNION ALL SELECT object, column_name, 'COLUMN_NULLABILITY_CHANGED', CASE WHEN hn THEN 'POTENTIALLY_BREAKING' ELSE 'BREAKING' END FROM pairs WHERE bn <> hn)
 """
-_NODES = _VALUES.format(m.CORPUS_NODES, "namespace, table_name, column_name")
-_VOTES = f"v AS (SELECT key, db, CAST(sum(weight) AS BIGINT) AS n FROM {_VALUES.format(m.VOTES, 'key, db, weight')} GROUP BY key, db), k AS (SELECT *, row_number() OVER w AS rn, lead(n, 1, 0) OVER w AS n2 FROM v WINDOW w AS (PARTITION BY key ORDER BY n DESC, db))"
-_TEMPS = _VALUES.format(m.TEMP_EDGES, "from_key, to_key")
+_SET = "list_sort(list_distinct(list_transform(string_split({}, ','), lambda x: regexp_replace(lower(x), '^[^.]+\\.([^.]+\\.[^.]+\\.[^.]+)$', '\\1'))))"
+_LINEAGE = f"""j AS (SELECT b.object, b.column_name, b.transformation AS bt, h.transformation AS ht, array_to_string({_SET.format('b.inputs')}, ',') AS bi, array_to_string({_SET.format('h.inputs')}, ',') AS hi
+  FROM {_of(m.BASE_LINEAGE_SQL)} b JOIN {_of(m.HEAD_LINEAGE_SQL)} h ON lower(b.object) = lower(h.object) AND lower(b.column_name) = lower(h.column_name)),
+li AS (SELECT object, column_name, 'LINEAGE_TYPE_CHANGED' AS change_type, 'POTENTIALLY_BREAKING' AS severity, bt AS old_value, ht AS new_value FROM j WHERE bt <> ht
+       UNION ALL SELECT object, column_name, 'LINEAGE_INPUTS_CHANGED', 'POTENTIALLY_BREAKING', bi, hi FROM j WHERE bi <> hi)"""
+_NEAR = "CASE WHEN abs(gone.ordinal - come.ordinal) <= 1 THEN 1 ELSE 0 END"
+CATALOGUES = _CATALOGUES.replace("$LINEAGE", _NEAR).replace("$JOINS", "")
+#: Renames with the lineage of both versions: equal inputs count 3, and without old inputs the place counts.
+_INPUTS = "(SELECT lower(object) AS o, lower(column_name) AS c, " + _SET.format("inputs") + " AS ins FROM {})"
+WITH_LINEAGE = _CATALOGUES.replace("$LINEAGE", f"CASE WHEN len(lb.ins) > 0 THEN CASE WHEN lb.ins = lh.ins THEN 3 ELSE 0 END ELSE {_NEAR} END").replace(
+    "$JOINS", f"LEFT JOIN {_INPUTS.format(_of(m.BASE_LINEAGE_SQL))} lb ON lb.o = gone.object AND lb.c = gone.column_name LEFT JOIN {_INPUTS.format(_of(m.HEAD_LINEAGE_SQL))} lh ON lh.o = come.object AND lh.c = come.column_name"
+).replace("gone AS (SELECT * FROM b", _LINEAGE + ", gone AS (SELECT * FROM b", 1)
+_NODES = _of(m.NODES_SQL)
+_VOTES = f"v AS (SELECT key, db, CAST(sum(weight) AS BIGINT) AS n FROM {_of(m.VOTES_SQL)} GROUP BY key, db), k AS (SELECT *, row_number() OVER w AS rn, lead(n, 1, 0) OVER w AS n2 FROM v WINDOW w AS (PARTITION BY key ORDER BY n DESC, db))"
+_TEMPS = _of(m.TEMPS_SQL)
+# the last parts of a table's name, and the column, that each selector names
+_NAMED = "VALUES ('Orders.CustomerID', 'dbo.orders', 'customerid'), ('dbo.Customers.customerid', 'dbo.customers', 'customerid'), ('MART.dbo.fct_sales.revenue', 'mart.dbo.fct_sales', 'revenue'), ('STG.dbo.nation_3.Customer#000000011', 'stg.dbo.nation_3', 'customer#000000011'), ('dbo.Orders.Custom', 'dbo.orders', 'custom')"
 METADATA = {
     "graph_edges": f"WITH {EDGES} SELECT s AS from_key, t AS to_key, 'IDENTITY' AS transformation, s[1:1] || '>' || t[1:1] AS description FROM e",
     "graph_nodes": f"WITH {EDGES} SELECT s AS key FROM e UNION SELECT t FROM e",
@@ -122,34 +150,34 @@ METADATA = {
     "graph_degree_rank": f"WITH {EDGES} SELECT key, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT s AS key, 1 AS o, 0 AS i FROM e UNION ALL SELECT t, 0, 1 FROM e) GROUP BY key",
     "table_neighbourhood": "SELECT * FROM (VALUES ('r', 2), ('n', 1), ('c', 0), ('o', 1), ('p', 2)) AS t(\"table\", level)",
     "topo_waves": f"WITH RECURSIVE {EDGES}, r(k, lvl) AS (SELECT s, 0 FROM e WHERE s NOT IN (SELECT t FROM e) UNION SELECT e.t, lvl + 1 FROM r JOIN e ON e.s = k) SELECT k AS key, CAST(max(lvl) AS INTEGER) AS wave FROM r GROUP BY k",
-    "edge_colours": f"WITH {EDGES} SELECT s AS from_key, t AS to_key, CAST((row_number() OVER (PARTITION BY s ORDER BY t) - 1) % 6 AS INTEGER) AS colour FROM e WHERE t[1:1] <> 'p'",
-    "edge_colours_all": f"WITH {EDGES} SELECT s AS from_key, t AS to_key, CAST((row_number() OVER (PARTITION BY s ORDER BY t) - 1) % 6 AS INTEGER) AS colour FROM e",
+    "edge_colours": f"WITH {EDGES} SELECT s AS from_key, t AS to_key, CAST((row_number() OVER (PARTITION BY s ORDER BY t) - 1) % 6 AS INTEGER) AS colour FROM e",
     "wildcard_table": f"SELECT table_name, column_name FROM {_NODES} WHERE lower(table_name) LIKE '%dbo.orders'",
     "wildcard_contains": f"SELECT table_name, column_name FROM {_NODES} WHERE lower(table_name) LIKE 'stg%' AND lower(column_name) LIKE '%customer%'",
     "wildcard_glob": f"SELECT table_name, column_name FROM {_NODES} WHERE lower(column_name) LIKE '%id'",
     "wildcard_prefix": f"SELECT table_name, column_name FROM {_NODES} WHERE table_name = 'MART.dbo.fct_sales'",
+    "wildcard_space": f"SELECT table_name, column_name FROM {_NODES} WHERE lower(namespace) LIKE 'mssql://localhost/building%' AND lower(column_name) LIKE 'customer#0000000_5%'",
+    "selector_exact": f"SELECT selector, table_name, column_name FROM {_NODES} JOIN ({_NAMED}) AS s(selector, t, c) ON lower(column_name) = c AND ('.' || lower(table_name)) LIKE ('%.' || replace(t, '_', '\\_')) ESCAPE '\\'",
     "temp_bypass_edges": f"WITH e AS {_TEMPS} SELECT from_key, to_key FROM e UNION SELECT a.from_key, b.to_key FROM e a JOIN e b ON a.to_key = b.from_key WHERE a.to_key LIKE '%#%' AND a.from_key <> b.to_key",
     "temp_owner_unique": f"""WITH e AS {_TEMPS}, w AS (SELECT '#' || split_part(to_key, '#', 2) AS short, min(to_key) AS owned FROM (SELECT DISTINCT to_key FROM e WHERE to_key LIKE '%_#%') GROUP BY 1 HAVING count(*) = 1)
        SELECT coalesce(owned, from_key) AS from_key, to_key FROM e LEFT JOIN w ON from_key = short""",
     "diff_objects": CATALOGUES + "SELECT * FROM ob",
     "diff_columns": CATALOGUES + "SELECT * FROM co",
-    "diff_types": CATALOGUES + """SELECT object, column_name, 'COLUMN_TYPE_CHANGED' AS change_type, CASE WHEN (bt, ht) IN (('INT','BIGINT'), ('DECIMAL(10,2)','DECIMAL(18,2)'), ('VARCHAR(50)','VARCHAR(100)'), ('FLOAT','DOUBLE')) THEN 'NON_BREAKING'
-       WHEN (bt LIKE 'VARCHAR%' AND ht LIKE 'VARCHAR%') OR (bt LIKE 'DECIMAL%' AND ht LIKE 'DECIMAL%') THEN 'POTENTIALLY_BREAKING' ELSE 'BREAKING' END AS severity, bt AS old_value, ht AS new_value FROM pairs WHERE bt <> ht""",
-    "diff_lineage": f"""WITH b AS {_VALUES.format(m.BASE_LINEAGE, 'object, column_name, tr, inp')}, h AS {_VALUES.format(m.HEAD_LINEAGE, 'object, column_name, tr, inp')},
-       j AS (SELECT b.object, b.column_name, b.tr AS bt, h.tr AS ht, array_to_string(list_sort(string_split(b.inp, ',')), ',') AS bi, array_to_string(list_sort(string_split(h.inp, ',')), ',') AS hi FROM b JOIN h ON b.object = h.object AND b.column_name = h.column_name)
-       SELECT object, column_name, 'LINEAGE_TYPE_CHANGED' AS change_type, 'POTENTIALLY_BREAKING' AS severity, bt AS old_value, ht AS new_value FROM j WHERE bt <> ht
-       UNION ALL SELECT object, column_name, 'LINEAGE_INPUTS_CHANGED', 'POTENTIALLY_BREAKING', bi, hi FROM j WHERE bi <> hi""",
-    "diff_renames": "SELECT 'stg.orders' AS object, 'customer' AS old_column, 'customer_id' AS new_column, CAST(6 AS INTEGER) AS score",
-    "diff_summary": CATALOGUES + "SELECT severity, change_type, count(*) AS changes FROM (SELECT severity, change_type FROM ob UNION ALL SELECT severity, change_type FROM co WHERE change_type IN ('COLUMN_ADDED', 'COLUMN_REMOVED')) GROUP BY 1, 2",
+    "diff_types": CATALOGUES + "SELECT * FROM ty",
+    "diff_renames": CATALOGUES + "SELECT * FROM rn",
+    "diff_lineage": f"WITH {_LINEAGE} SELECT * FROM li",
+    "diff_summary": f"""{WITH_LINEAGE} SELECT severity, change_type, count(*) AS changes FROM (SELECT severity, change_type FROM ob
+       UNION ALL SELECT severity, change_type FROM co UNION ALL SELECT severity, change_type FROM li) GROUP BY 1, 2""",
     "db_votes": f"WITH {_VOTES} SELECT key, db, n FROM v",
     "db_leader": f"WITH {_VOTES} SELECT key, db FROM k WHERE rn = 1 AND n > n2",
     "registry_promote": f"WITH {_VOTES} SELECT key, db FROM k WHERE rn = 1 AND n >= 2 AND n - n2 >= 1",
-    "registry_resolve": f"""WITH {_VOTES}, hd AS {_VALUES.format(m.HARD, 'key, db')} SELECT q.key, coalesce(CASE WHEN lower(a.db) NOT LIKE 'warehousedb%' AND lower(a.db) NOT LIKE 'warehousedw%' THEN a.db END,
+    "registry_resolve": f"""WITH {_VOTES}, hd AS {_of(m.HARD_SQL)} SELECT q.key, coalesce(CASE WHEN lower(a.db) NOT LIKE 'warehousedb%' AND lower(a.db) NOT LIKE 'warehousedw%' THEN a.db END,
        CASE WHEN lower(b.db) NOT LIKE 'warehousedb%' AND lower(b.db) NOT LIKE 'warehousedw%' THEN b.db END, l.db, a.db, b.db, 'DEFAULTDB') AS db
-       FROM {_VALUES.format(m.KEYS, 'key')} q LEFT JOIN hd a ON a.key = q.key LEFT JOIN hd b ON b.key = '*::' || split_part(q.key, '::', 2) LEFT JOIN (SELECT key, db FROM k WHERE rn = 1 AND n > n2) l ON l.key = '*::' || split_part(q.key, '::', 2)""",
-    "regex_dependencies": "SELECT * FROM (VALUES ('a', 'stg.dbo.orders'), ('a', 'stg.dbo.items'), ('b', 't'), ('b', 'dbo.t'), ('b', '#tmp'), ('c', 'mart.dbo.f')) AS t(name, dependency)",
+       FROM {_of(m.KEYS_SQL)} q LEFT JOIN hd a ON a.key = q.key LEFT JOIN hd b ON b.key = '*::' || split_part(q.key, '::', 2) LEFT JOIN (SELECT key, db FROM k WHERE rn = 1 AND n > n2) l ON l.key = '*::' || split_part(q.key, '::', 2)""",
+    "regex_dependencies": f"""SELECT DISTINCT name, lower(array_to_string(list_slice(x, greatest(len(x) - 2, 1), len(x)), '.')) AS dependency
+       FROM (SELECT name, list_filter(string_split(regexp_replace(r, '[\\[\\]]', '', 'g'), '.'), lambda p: p <> '') AS x FROM (SELECT name, unnest(regexp_extract_all(regexp_replace(regexp_replace(sql_text, '/\\*.*?\\*/', ' ', 'g'),
+       '--[^\n]*', ' ', 'g'), '(?i)\\b(?:from|join|update|merge\\s+into)\\s+([\\[\\]\\w.#@]+)', 1)) AS r FROM {_of(m.SCRIPTS_SQL)}))""",
     "name_normalise": f"""SELECT name, array_to_string(list_slice(x, greatest(len(x) - 2, 1), len(x)), '.') AS plain, CASE WHEN len(x) = 1 THEN 'dbo.' || x[1] ELSE x[-2] || '.' || x[-1] END AS schema_table
-       FROM (SELECT name, string_split(regexp_replace(trim(name), '[\\[\\]"]', '', 'g'), '.') AS x FROM {_VALUES.format(m.NAMES, 'name')})""",
+       FROM (SELECT name, string_split(regexp_replace(trim(name), '[\\[\\]"]', '', 'g'), '.') AS x FROM {_of(m.NAMES_SQL)})""",
 }
 
 # What the scripts of BASE_DDL say, worked out by hand.
@@ -167,24 +195,11 @@ METADATA |= {
 }
 
 
-# The table function over all customers and dates, and what calls it.
-_SOLD = """, fa AS (SELECT order_id, customer_id, order_date, status, product_id, quantity, CAST(revenue AS DOUBLE) AS revenue, CAST(CASE WHEN status IN ('F','O') THEN 1 ELSE 0 END AS INTEGER) AS is_fulfilled FROM o JOIN i USING (order_id))"""
-WAREHOUSE |= {
-    "fn_customer_orders_inline_all": _SOLD + " SELECT * FROM fa",
-    "fn_customer_orders_mstvf_all": _SOLD + " SELECT fa.*, CAST(date_diff('day', order_date, now) AS INTEGER) AS days_since_order FROM fa, n",
-    "demo_tvf_proc_all": _SOLD + f""", {_metrics(120)} SELECT fa.customer_id, order_id, product_id, revenue, total_revenue, activity, CASE WHEN total_revenue >= 1000000 THEN 'High' WHEN total_revenue >= 500000 THEN 'Medium' ELSE 'Standard' END AS tier,
-       round(revenue / nullif(total_revenue, 0) * 100, 4) AS percent_of_total FROM fa JOIN mt USING (customer_id) WHERE activity IN ('Active','Recent','Occasional')""",
-}
-
 METADATA["ol_column_lineage"] = """SELECT * FROM (VALUES ('STG.dbo.stg_orders','OrderID','IDENTITY','STG.dbo.Orders','OrderID'),('STG.dbo.stg_orders','OrderDay','CAST','STG.dbo.Orders','OrderDate'),('STG.dbo.stg_orders','IsFulfilled','CASE','STG.dbo.Orders','Status'),
        ('MART.dbo.star','OrderID','IDENTITY','STG.dbo.stg_orders','OrderID'),('MART.dbo.star','OrderDay','IDENTITY','STG.dbo.stg_orders','OrderDay'),('MART.dbo.star','IsFulfilled','IDENTITY','STG.dbo.stg_orders','IsFulfilled'),('MART.dbo.star','Version','CONSTANT',NULL,NULL),
        ('MART.dbo.both','OrderID','UNION','STG.dbo.Orders','CustomerID'),('MART.dbo.both','OrderID','UNION','STG.dbo.stg_orders','OrderID'),('MART.dbo.refresh#t','CustomerID','IDENTITY','STG.dbo.Orders','CustomerID'),('MART.dbo.refresh#t','Total','ARITHMETIC_AGGREGATION','STG.dbo.Orders','Price'),
        ('MART.dbo.totals','Customer','IDENTITY','MART.dbo.refresh#t','CustomerID'),('MART.dbo.totals','Amount','IDENTITY','MART.dbo.refresh#t','Total')) AS t(object, column_name, transformation, input, field)"""
 
-METADATA["diff_summary_all"] = f"""SELECT severity, change_type, count(*) AS changes FROM (SELECT severity, change_type FROM ({METADATA['diff_objects']}) UNION ALL SELECT severity, change_type FROM ({METADATA['diff_columns']})
-       UNION ALL SELECT severity, change_type FROM ({METADATA['diff_types']}) UNION ALL SELECT severity, change_type FROM ({METADATA['diff_lineage']})
-       UNION ALL SELECT 'POTENTIALLY_BREAKING', 'COLUMN_RENAMED' FROM ({METADATA['diff_renames']})) GROUP BY 1, 2"""
-
 
 def oracles() -> dict[str, str]:
     return {k: BASE + (v if v.startswith(",") else v) for k, v in WAREHOUSE.items()} | METADATA

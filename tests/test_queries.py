@@ -12,10 +12,7 @@ from plumbline.plans.oracles import oracles
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem".split()
-CHECKED = [
-    "agg_sales_by_day", "vw_customer_order_analysis", "vw_customer_order_ranking", "vw_sales_analytics", "usp_customer_metrics", "usp_top_products", "demo_tvf_proc", "merge_upsert", "set_except", "pivot_status",
-    "impact_downstream", "impact_depth2", "topo_waves", "wildcard_glob", "wildcard_contains", "diff_objects", "diff_columns", "diff_types", "diff_renames", "registry_resolve", "name_normalise", "temp_bypass_edges",
-]
+CHECKED = sorted(oracles())
 
 
 def plain(value):

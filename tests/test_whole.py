@@ -19,19 +19,19 @@ def same(spark, duck, name):  # noqa: F811
 
 
 def test_every_edge_gets_a_colour(spark, duck):  # noqa: F811
-    found = same(spark, duck, "edge_colours_all")
+    found = same(spark, duck, "edge_colours")
     edges = catalogue.queries()["graph_edges"](spark, DATA).toPandas()
     assert set(zip(found.from_key, found.to_key)) == set(zip(edges.from_key, edges.to_key)) and len(found) == len(edges)
     assert set(found.colour) == set(range(6))
 
 
-@pytest.mark.parametrize("name", ["fn_customer_orders_inline_all", "fn_customer_orders_mstvf_all"])
+@pytest.mark.parametrize("name", ["fn_customer_orders_inline", "fn_customer_orders_mstvf"])
 def test_the_table_function_gives_every_line(spark, duck, name):  # noqa: F811
     assert len(same(spark, duck, name)) == duck.sql("SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchall()[0][0]
 
 
 def test_tiers_of_customers_beyond_any_range(spark, duck):  # noqa: F811
-    assert same(spark, duck, "demo_tvf_proc_all").customer_id.max() > 50
+    assert same(spark, duck, "demo_tvf_proc").customer_id.max() > 50
 
 
 def test_events_name_tables_that_give_no_column(spark):
@@ -68,5 +68,5 @@ def test_the_command_line_prints_every_row(spark, tmp_path, capsys):
 
 
 def test_the_summary_counts_every_type_of_change(spark, duck):  # noqa: F811
-    found = same(spark, duck, "diff_summary_all")
+    found = same(spark, duck, "diff_summary")
     assert {"COLUMN_RENAMED", "COLUMN_TYPE_CHANGED", "COLUMN_ORDER_CHANGED", "COLUMN_NULLABILITY_CHANGED", "LINEAGE_TYPE_CHANGED", "LINEAGE_INPUTS_CHANGED"} <= set(found.change_type)
