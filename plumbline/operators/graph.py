@@ -16,8 +16,6 @@ from plumbline.storage import cut
 
 #: Level of edges whose far end is a seed itself.
 NO_LEVEL = 999999
-#: Depth up to which edges are joined as they are.
-SHORT = 2
 
 
 def node_key(namespace: Column, table: Column, column: Column) -> Column:
@@ -33,19 +31,23 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.dropDuplicates(["from_key", "to_key", "transformation", "description"])
 
 
+def by_end(edges: DataFrame, end: str) -> DataFrame:
+    """The edges, cut once into partitions by one end, so that joins on it move the other side only."""
+    return cut(edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), end))
+
+
 def distances(edges: DataFrame, seeds: DataFrame, max_depth: int = 0, upstream: bool = False) -> DataFrame:
     """(key, level) of all nodes reached from `seeds` (key), the seeds at level 0; max_depth 0: without limit.
 
-    Frontier by frontier. Edges are cut once, in partitions by their near end, so a level moves its frontier only. What has
-    been reached is one table of the levels so far, and only the last levels' nodes that an edge could lead back to count.
+    Frontier by frontier: a level moves its frontier only, to the edges and to what was reached before.
     """
     ahead, back = ("to_key", "from_key") if upstream else ("from_key", "to_key")
-    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _levels(by_end(edges.select(ahead, back), ahead), seeds, max_depth, ahead, back)
+
+
+def _levels(steps: DataFrame, seeds: DataFrame, max_depth: int, ahead: str, back: str) -> DataFrame:
+    steps = steps.select(F.col(ahead).alias("at"), F.col(back).alias("key"))
     frontier = cut(seeds.select("key").distinct().withColumn("level", F.lit(0)))
-    if max_depth and max_depth <= SHORT:  # a few joins cost less than cutting all edges
-        steps = edges.select(F.col(ahead).alias("at"), F.col(back).alias("key"))
-    else:
-        steps = cut(edges.select(F.col(ahead).alias("at"), F.col(back).alias("key")).repartition(width, "at"))
     reached, depth = frontier, 0
     while (max_depth == 0 or depth < max_depth) and not frontier.isEmpty():
         depth += 1
@@ -65,9 +67,10 @@ def impact(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", ma
         return impact(edges, seeds, "upstream", max_depth).unionByName(impact(edges, seeds, "downstream", max_depth))
     upstream = direction == "upstream"
     near, far = ("to_key", "from_key") if upstream else ("from_key", "to_key")
-    levels = distances(edges, seeds, max_depth, upstream)
+    own = by_end(edges.select("from_key", "to_key", "transformation", "description"), near)
+    levels = _levels(own, seeds, max_depth, near, far)
     at_near, at_far = (levels.select(F.col("key").alias(k), F.col("level").alias(f"{k}_level")) for k in (near, far))
-    inside = edges.join(at_near if not max_depth else at_near.where(F.col(f"{near}_level") < max_depth), near).join(at_far, far, "left")
+    inside = own.join(at_near if not max_depth else at_near.where(F.col(f"{near}_level") < max_depth), near).join(at_far, far, "left")
     level = F.coalesce(F.when(F.col(f"{far}_level") > 0, F.col(f"{far}_level")), F.lit(NO_LEVEL))
     first = inside.groupBy("from_key", "to_key", "transformation", "description").agg(F.min(level).cast("int").alias("level"))
     return first.select("from_key", "to_key", F.lit(direction).alias("direction"), "transformation", "description", "level")
@@ -91,9 +94,10 @@ def waves(edges: DataFrame) -> DataFrame:
     left, the smallest key of each weakly connected rest goes next, so every node gets a wave and cycles cost no rounds of their own.
     """
     width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    steps = cut(edges.select("from_key", "to_key").where("from_key <> to_key").distinct().repartition(width, "from_key"))
-    waiting = steps.groupBy(F.col("to_key").alias("key")).agg(F.count(F.lit(1)).alias("open"))
-    rest = cut(nodes_of(edges).join(waiting, "key", "left").select("key", F.coalesce("open", F.lit(0)).alias("open")))
+    own = cut(edges.select("from_key", "to_key").repartition(width, "from_key").distinct())
+    steps = own.where("from_key <> to_key")
+    ends = own.select(F.explode(F.array(F.struct(F.col("from_key").alias("key"), F.lit(0).alias("n")), F.struct(F.col("to_key").alias("key"), (F.col("from_key") != F.col("to_key")).cast("int").alias("n")))).alias("e"))
+    rest = cut(ends.groupBy("e.key").agg(F.sum("e.n").alias("open")))
     wave, done = 0, None
     ready = cut(rest.where("open <= 0").select("key"))
     rest = rest.where("open > 0")

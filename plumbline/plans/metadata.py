@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import diff, graph, registry
-from plumbline.storage import cut, table, values
+from plumbline.storage import table, values
 from plumbline.tsql import artifacts
 from plumbline.tsql.frontend import Extractor, columns_of_ddl
 
@@ -79,7 +79,7 @@ def seeds(spark: SparkSession, *keys: str) -> DataFrame:
 
 
 def _impact(spark: SparkSession, d: str, key: str, direction: str, depth: int = 0) -> DataFrame:
-    return graph.impact(cut(edges(spark, d)), seeds(spark, key), direction, depth).select("from_key", "to_key", "direction", "level")
+    return graph.impact(edges(spark, d), seeds(spark, key), direction, depth).select("from_key", "to_key", "direction", "level")
 
 
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +107,7 @@ def impact_depth2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
-    return graph.traversal_stats(cut(edges(spark, d)), seeds(spark, "n3"), F.substring("key", 1, 1))
+    return graph.traversal_stats(edges(spark, d), seeds(spark, "n3"), F.substring("key", 1, 1))
 
 
 def graph_degree_rank(spark: SparkSession, d: str) -> DataFrame:
