@@ -2,20 +2,22 @@
 
 A Misra-Gries summary (Spark's freqItems, the Karp-Schenker-Papadimitriou form of it) names every digest that may fill
 more than `support` of the rows. Those few are counted exactly and their winners broadcast, so the copies of a hot text
-are resolved in the map task that reads them; all other digests take one ordinary shuffle, in which no group can be
-larger than that share.
+are resolved in the map task that reads them; all other digests take an ordinary shuffle, in which the minima and counts of a
+group are combined before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import cut, local_rows
+from plumbline.llm.common import cut, local_rows, written
 
 #: Share of the rows from which a digest counts as frequent. At most 1 / SUPPORT digests can be, which bounds the broadcast.
 SUPPORT = 0.001
+#: Rows (id, digest) that may be broadcast to tell what goes: 100 bytes each or less.
+FEW_GONE = 200_000
 
 
 def text_digest(text: Column) -> Column:
@@ -54,13 +56,9 @@ def elect(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
     )
     winners = F.broadcast(local_rows(spark, [tuple(r) for r in frequent], schema))
     hot = rows.join(winners, "digest", "inner")
-    by_digest = Window.partitionBy("digest")
-    rest = (
-        rows.join(winners, "digest", "left_anti")
-        .withColumn("best", best.over(by_digest))
-        .withColumn("group_size", F.count(F.lit(1)).over(by_digest))
-        .select(*rows.columns, "best.keep_id", "best.keep_row", "group_size")
-    )
+    cold = rows.join(winners, "digest", "left_anti")
+    chosen = cold.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    rest = cold.join(chosen, "digest").select(*rows.columns, "best.keep_id", "best.keep_row", "group_size")
     return hot.select(rest.columns).unionByName(rest)
 
 
@@ -82,13 +80,33 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """`docs` with one row of each text, all columns kept; see exact_duplicates for which row.
+    """`docs` with one row of each text, all columns kept, whatever their names; see exact_duplicates for which row.
 
-    The decision travels as (id, digest) of the surviving rows only: the texts themselves are not shuffled by digest.
-    Rows that repeat both id and text are reduced to one by a number among them.
+    What goes is told as (id, digest): up to FEW_GONE of those are broadcast, so texts aren't moved at all; more take one join by
+    digest, into which each text goes once. Rows that repeat both id and text of a row that stays are numbered, one of them stays.
     """
-    kept = exact_duplicates(docs, id_col, text_col, support).where("kept").select(F.col(id_col).alias("_keep_id"), "text_sha256")
-    own = docs.withColumn("_sha", F.lower(F.hex(text_digest(F.col(text_col)))))
-    joined = own.join(kept, (F.col("_sha") == F.col("text_sha256")) & F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
-    first = Window.partitionBy(id_col, "_sha").orderBy(F.lit(1))
-    return joined.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+    meta = cut(docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("row_no")))
+    found = elect(meta, support).where("group_size > 1")
+    lost = ~F.col("id").eqNullSafe(F.col("keep_id"))
+    told = written(found.groupBy("id", "digest").agg(F.max(lost).alias("lost"), F.count(F.lit(1)).alias("copies")).where("lost OR copies > 1"))
+    own = docs.select(F.struct(*map(_quoted, docs.columns)).alias("row"), F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"))
+    gone, again = told.where("lost"), told.where("NOT lost")
+    kept = own.join(_small(gone), _same(own, gone), "left_anti")
+    if not again.isEmpty():
+        copies = cut(kept.join(_small(again), _same(kept, again), "left_semi").withColumn("nth", F.monotonically_increasing_id()))
+        first = copies.groupBy("id", "digest").agg(F.min("nth").alias("nth"))
+        one = copies.join(_small(first), _same(copies, first) & (copies["nth"] == first["nth"]), "left_semi")
+        kept = kept.join(_small(again), _same(kept, again), "left_anti").unionByName(one.drop("nth"))
+    return kept.select("row.*")
+
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return (a["digest"] == b["digest"]) & a["id"].eqNullSafe(b["id"])
+
+
+def _small(told: DataFrame) -> DataFrame:
+    return F.broadcast(told) if told.count() <= FEW_GONE else told
