@@ -11,13 +11,21 @@ are free, until none is left. Where a format has fewer places than that takes, t
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
+from functools import reduce
+from hashlib import sha256
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, written
 
+#: The key where none is given; whoever knows the key and guesses a value can confirm the guess, so give your own:
+#: as an argument, or for the queries and the pipeline in the setting KEY_SETTING.
 KEY = "plumbline-surrogates"
+KEY_SETTING = "spark.plumbline.surrogates.key"
+_key: ContextVar[str] = ContextVar("key", default=KEY)
 #: Rounds of drawing again; salts above are places (salt - ROUNDS - 1) in the list of all replacements of a format.
 ROUNDS = 6
 #: Places that one row lists at a time.
@@ -101,7 +109,15 @@ def _words_given(text: Column, given: Callable[[Column], Column]) -> Column:
 
 def _digest(kind: Column, value: Column, salt: Column, block: Column) -> Column:
     """64 hex digits of a keyed hash; block: a number, for longer entities."""
-    return F.sha2(F.concat_ws("\u0001", F.lit(KEY), kind, value, salt.cast("string"), block.cast("string")), 256)
+    return hmac(F.concat_ws("\u0001", kind, value, salt.cast("string"), block.cast("string")))
+
+
+def hmac(message: Column) -> Column:
+    """HMAC-SHA-256 of a string under the key, as hex digits."""
+    key = _key.get().encode()
+    key = (sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
 
 
 def _drawn(kind: Column, value: Column, salt: Column, length: Column) -> Column:
@@ -215,8 +231,17 @@ def _alike(c: Column, n: Column) -> Column:
     return made.when(c.rlike(r"\A\p{Lu}\z"), pick(_UPPER)).when(c.rlike(r"\A\p{L}\z"), pick(_LOWER)).otherwise(c)
 
 
+def may_hold(text: Column) -> Column:
+    """Whether a text has what each pattern needs, found by plain searches: most texts have nothing of it and meet no pattern."""
+    has = lambda *parts: reduce(or_, (text.contains(p) for p in parts))
+    secret = has("=", ":") & text.rlike(r"(?i)passw|pwd|token|secret|api[_-]?key")
+    return has("@", "AKIA", "ASIA", "Mr", "Ms", "Mme", "Mlle", "Frau", "Sr", "Herr") | text.rlike("[0-9]") | secret
+
+
 def entities(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ALL), F.lit(0))
+    """The entities of a text in order; NULL for a missing text."""
+    none = F.array().cast("array<string>")
+    return F.when(text.isNull(), None).when(may_hold(text), F.regexp_extract_all(text, F.lit(ALL), F.lit(0))).otherwise(none)
 
 
 def _settled(found: DataFrame) -> DataFrame:
@@ -267,7 +292,7 @@ def _free_places(left: DataFrame, forbidden: DataFrame, at: Callable[[Column], C
     free = places.withColumn("norm", taken(at(F.col("salt")))).join(forbidden, ["kind", "norm"], "left_anti")
     by_format = Window.partitionBy("kind", "format")
     free = free.withColumn("rank", F.row_number().over(by_format.orderBy("salt"))).where("rank <= wanted").select("kind", "format", "rank", "salt")
-    ranked = own.select("kind", "value", "shape", "format", F.row_number().over(by_format.orderBy(F.sha2(F.concat_ws("\u0001", F.lit(KEY), "value"), 256))).alias("rank"))
+    ranked = own.select("kind", "value", "shape", "format", F.row_number().over(by_format.orderBy(hmac(F.col("value")))).alias("rank"))
     moved = written(ranked.join(free, ["kind", "format", "rank"], "left").select("kind", "value", "shape", "format", "salt"))
     short = moved.where("salt IS NULL").select("kind", "format").first()
     if short:
@@ -275,15 +300,25 @@ def _free_places(left: DataFrame, forbidden: DataFrame, at: Callable[[Column], C
     return moved.drop("format")
 
 
-def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
+def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False, key: str | None = None) -> DataFrame:
     """`docs` with replaced entities: id_col, text, n_entities and kinds (of the entities, in order); or, with keep_columns, the
     columns of `docs` alone.
 
     Texts without entities, missing and empty ones stay as they are. The same value gets the same replacement in every row
-    (repeated rows stay equal), different values of a type different ones. Other columns are passed on unread.
+    (repeated rows stay equal), different values of a type different ones. Other columns are passed on unread, whatever their
+    names; an empty table gives an empty result. key: of the keyed hash; None: what KEY_SETTING says, or else KEY.
     """
-    own = docs.withColumn("_found", entities(F.col(text_col)))
-    mentions = own.select(F.explode("_found").alias("entity")).groupBy("entity").count().select("entity")
+    token = _key.set(key or docs.sparkSession.conf.get(KEY_SETTING, KEY))
+    try:
+        return _surrogates(docs, id_col, text_col, keep_columns)
+    finally:
+        _key.reset(token)
+
+
+def _surrogates(docs: DataFrame, id_col: str, text_col: str, keep_columns: bool) -> DataFrame:
+    quoted = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    own = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), quoted(text_col).alias("text"), entities(quoted(text_col)).alias("found"))
+    mentions = own.select(F.explode("found").alias("entity")).groupBy("entity").count().select("entity")
     typed = mentions.withColumn("kind", kind_of(F.col("entity"))).select("kind", F.inline(values_of(F.col("kind"), F.col("entity"))))
     found = cut(typed.groupBy("kind", "value").agg(F.min("shape").alias("shape")))
     again = _settled(found).select(F.concat_ws("\u0001", "kind", "value").alias("name"), "salt")
@@ -292,12 +327,12 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         salts = F.create_map(*[F.lit(x) for r in few for x in r]) if few else None
         return _replaced(own, docs, salts, id_col, text_col, keep_columns)
     # too many to be part of the plan: each text that has such values gets their salts beside it
-    keyed = own.withColumn("_key", F.xxhash64(text_col)).withColumn("_len", F.length(text_col))
-    named = keyed.select("_key", "_len", F.explode("_found").alias("e")).withColumn("kind", kind_of(F.col("e")))
-    named = named.select("_key", "_len", "kind", F.inline(values_of(F.col("kind"), F.col("e")))).select("_key", "_len", F.concat_ws("\u0001", "kind", "value").alias("name")).distinct()
-    maps = named.join(again, "name").groupBy("_key", "_len").agg(F.map_from_entries(F.collect_list(F.struct("name", "salt"))).alias("_salts"))
-    beside = keyed.join(maps.withColumnsRenamed({"_key": "_k", "_len": "_l"}), (F.col("_key") == F.col("_k")) & (F.col("_len") == F.col("_l")), "left")
-    return _replaced(beside, docs, F.coalesce("_salts", F.create_map().cast("map<string,bigint>")), id_col, text_col, keep_columns)
+    keyed = own.withColumn("text_key", F.sha2("text", 256))
+    named = keyed.select("text_key", F.explode("found").alias("e")).distinct().withColumn("kind", kind_of(F.col("e")))
+    named = named.select("text_key", F.inline(values_of(F.col("kind"), F.col("e"))), "kind").select("text_key", F.concat_ws("\u0001", "kind", "value").alias("name")).distinct()
+    maps = named.join(again, "name").groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("name", "salt"))).alias("salts"))
+    beside = keyed.join(maps, "text_key", "left")
+    return _replaced(beside, docs, F.coalesce("salts", F.create_map().cast("map<string,bigint>")), id_col, text_col, keep_columns)
 
 
 def _replaced(own: DataFrame, docs: DataFrame, salts: Column | None, id_col: str, text_col: str, keep_columns: bool) -> DataFrame:
@@ -315,13 +350,14 @@ def _replaced(own: DataFrame, docs: DataFrame, salts: Column | None, id_col: str
         return let(kind_of(e), lambda kind: F.when(kind.startswith("name"), titled(kind, e)).otherwise(whole(kind)))
 
     # words of a titled name are replaced wherever else the text has them; the first title with a word tells its kind
-    people = F.flatten(F.transform("_found", lambda e: let(kind_of(e), lambda kind: F.when(kind.startswith("name"), F.transform(F.filter(parts_of(e), lambda p: F.char_length(p) > 1), lambda p: F.struct(p.alias("word"), word(kind, p).alias("given")))).otherwise(F.array().cast("array<struct<word:string,given:string>>")))))
+    people = F.flatten(F.transform("found", lambda e: let(kind_of(e), lambda kind: F.when(kind.startswith("name"), F.transform(F.filter(parts_of(e), lambda p: F.char_length(p) > 1), lambda p: F.struct(p.alias("word"), word(kind, p).alias("given")))).otherwise(F.array().cast("array<struct<word:string,given:string>>")))))
     mentioned = lambda text, known: _words_given(text, lambda w: let(F.array_position(known["word"], w), lambda n: F.when(n > 0, F.try_element_at(known["given"], n.cast("int"))).otherwise(w)))
-    pieces = F.split(F.col(text_col), ALL, -1)
-    titles = F.exists("_found", lambda e: kind_of(e).startswith("name"))
+    pieces = F.split(F.col("text"), ALL, -1)
+    titles = F.exists("found", lambda e: kind_of(e).startswith("name"))
     between = F.when(titles, let(people, lambda known: F.transform(pieces, lambda p: mentioned(p, known)))).otherwise(pieces)
-    joined = let(between, lambda left: F.concat(F.array_join(F.flatten(F.zip_with(F.slice(left, 1, F.size("_found")), F.transform(F.col("_found"), given), lambda p, e: F.array(p, e))), ""), F.element_at(left, -1)))
-    text = F.when(F.size("_found") > 0, joined).otherwise(F.col(text_col))
+    joined = let(between, lambda left: F.concat(F.array_join(F.flatten(F.zip_with(F.slice(left, 1, F.size("found")), F.transform(F.col("found"), given), lambda p, e: F.array(p, e))), ""), F.element_at(left, -1)))
+    text = F.when(F.size("found") > 0, joined).otherwise(F.col("text"))
+    row = F.col("row")
     if keep_columns:
-        return own.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
-    return own.select(F.col(id_col), text.alias("text"), F.greatest(F.size("_found"), F.lit(0)).cast("long").alias("n_entities"), F.coalesce(F.transform("_found", kind_of), F.array().cast("array<string>")).alias("kinds"))
+        return own.select(*[text.alias(c) if c == text_col else row[c].alias(c) for c in docs.columns])
+    return own.select(row[id_col].alias(id_col), text.alias("text"), F.greatest(F.size("found"), F.lit(0)).cast("long").alias("n_entities"), F.coalesce(F.transform("found", kind_of), F.array().cast("array<string>")).alias("kinds"))
