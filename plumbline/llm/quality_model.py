@@ -192,7 +192,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, id
     """
     usable = labels.where(~held_out(F.col(id_col)) & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.max(label).alias("y"))
     chosen = usable.withColumn("draw", F.xxhash64(F.lit(7), id_col)).orderBy("draw", id_col).limit(limit)
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen.select(id_col, "y")), id_col)
+    return one_text_an_id(docs, chosen, id_col, text_col)
+
+
+def one_text_an_id(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, y) of the chosen ids (id_col, y; a bounded number): of rows that repeat an id, the smallest text, found before any shuffle."""
+    told = F.broadcast(chosen.select(F.col(id_col).alias("id"), "y"))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(told, "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -204,7 +210,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Itera
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
     """Features of the drawn rows are taken on the executors; the driver gets `limit` rows of numbers, in order of id."""
     schema = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.float64())), ("y", pa.int32())])
-    rows = training_rows(docs, labels, label, limit, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), "text", F.col("y").cast("int"))
+    rows = training_rows(docs, labels, label, limit, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text", F.col("y").cast("int"))
     got = rows.mapInArrow(lambda batches: _feature_rows(batches, schema), "id long, x array<double>, y int").toArrow()
     got = got.sort_by("id")
     x = np.array(got.column("x").to_pylist(), dtype=float).reshape(len(got), len(FEATURES))

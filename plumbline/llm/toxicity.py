@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.quality_model import held_out
+from plumbline.llm.quality_model import held_out, one_text_an_id
 
 #: Labelled rows of each label that the fit may use at most: the bound of what the driver holds, with whole texts.
 MAX_POSITIVE, MAX_NEGATIVE = 900, 1500
@@ -336,8 +336,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
         return None
     drawn = usable.withColumn("draw", F.xxhash64(F.lit(11), id_col))
     chosen = [drawn.where(F.col("y") == y).orderBy("draw", id_col).limit(k).select(id_col, "y") for y, k in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), id_col)
-    got = rows.select(id_col, "text", F.col("y").cast("int")).toArrow().sort_by(id_col)
+    rows = one_text_an_id(docs, chosen[0].unionByName(chosen[1]), id_col, text_col)
+    got = rows.select("id", "text", F.col("y").cast("int")).toArrow().sort_by("id")
     return train([t or "" for t in got.column("text").to_pylist()], np.array(got.column("y").to_pylist(), dtype=float), counts[1] / sum(counts.values()))
 
 
@@ -363,7 +363,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose whole text scores `threshold` or more; all columns are kept, in one pass."""
+    """`docs` without the rows whose whole text scores `threshold` or more; all columns are kept, whatever their names, in one pass.
+
+    A missing text is scored like the empty one; missing and repeated ids, ties and repeated rows don't matter, as only the text
+    decides. Where a label is missing among the rows that may be learnt from, all rows stay. An empty table gives an empty result.
+    """
     net = fit_toxicity(docs, labels, id_col=id_col, text_col=text_col)
     shape = docs.schema
 
