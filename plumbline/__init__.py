@@ -1 +1,3 @@
-"""Plumbline: column lineage and warehouse analytics as PySpark plans."""
+"""Column lineage, warehouse queries and corpus operators on Spark."""
+
+VERSION = "0.2.0"

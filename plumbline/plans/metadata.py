@@ -28,7 +28,7 @@ VOTES = "('table::dbo.a','STG',1),('*::dbo.a','STG',10),('*::dbo.a','EDW',3),('*
 HARD = "('table::dbo.a','STG'),('*::dbo.c','warehousedw'),('view::dbo.d','warehousedb'),('*::dbo.e','EDW')"
 KEYS = "('table::dbo.a'),('view::dbo.a'),('table::dbo.b'),('view::dbo.c'),('view::dbo.d'),('table::dbo.e'),('table::dbo.f')"
 TEMP_EDGES = "('stg.orders.id','p1#tmp.id'),('p1#tmp.id','mart.sales.id'),('stg.orders.qty','p1#tmp.qty'),('p1#tmp.qty','mart.sales.qty'),('#tmp.qty','mart.copy.qty'),('#both.x','mart.copy.x'),('stg.a.x','p1#both.x'),('stg.b.x','p2#both.x')"
-SCRIPTS = """('a','SELECT * FROM STG.dbo.Orders o JOIN [STG].[dbo].[Items] i ON 1=1 -- from nowhere'),('b','UPDATE t SET x=1 FROM dbo.T t /* join x */ INNER JOIN #tmp z ON 1=1'),('c','MERGE INTO mart.dbo.f USING dbo.s ON 1=1'),('d','SELECT 1')"""
+SCRIPTS = """('a','SELECT * FROM STG.dbo.Orders o JOIN [STG].[dbo].[Items] i ON 1=1 -- from nowhere'),('b','UPDATE t SET x=1 FROM dbo.T t /* join x */ INNER JOIN #tmp z ON 1=1'),('c','MERGE INTO mart.dbo.f USING dbo.s ON 1=1'),('d','SELECT 1'),('e','INSERT INTO [DW].dbo.f SELECT * FROM STG.dbo.s JOIN tempdb.dbo.x ON 1=1'),('f','SELECT a INTO EDW.dbo.g FROM STG.dbo.s -- FROM X.y.z')"""
 NAMES = "('[STG].[dbo].[Orders]'),('Orders'),('dbo.Orders'),('srv.STG.dbo.Orders'),('\"a\".\"b\"'),(' x ')"
 
 
@@ -234,6 +234,16 @@ def regex_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return relation(spark, d, SCRIPTS_SQL).select("name", F.explode(registry.referenced(F.col("sql_text"))).alias("dependency"))
 
 
+def script_votes(spark: SparkSession, d: str) -> DataFrame:
+    """Votes of each script for the database it belongs to."""
+    return registry.script_votes(relation(spark, d, SCRIPTS_SQL))
+
+
+def registry_learn(spark: SparkSession, d: str) -> DataFrame:
+    """Tallied votes that the scripts teach."""
+    return registry.tally(registry.learn(relation(spark, d, SCRIPTS_SQL))[1])
+
+
 def name_normalise(spark: SparkSession, d: str) -> DataFrame:
     return relation(spark, d, NAMES_SQL).select("name", registry.plain_name(F.col("name")).alias("plain"), registry.schema_and_table(F.col("name")).alias("schema_table"))
 
@@ -283,7 +293,7 @@ def ol_column_lineage(spark: SparkSession, d: str) -> DataFrame:
     path = F.get_json_object("event", "$.outputs[0].facets.columnLineage.fields")
     rows = artifacts.events(*found.tables(), dependencies=found.dependencies()).select(F.col("name").alias("object"), F.explode(F.from_json(path, f"map<string,{facet}>")).alias("column_name", "l"))
     rows = rows.select("object", "column_name", F.col("l.transformationType").alias("transformation"), F.explode_outer("l.inputFields").alias("i"))
-    return rows.select("object", "column_name", "transformation", F.col("i.name").alias("input"), F.col("i.field").alias("field"))
+    return rows.select("object", "column_name", "transformation", F.concat_ws(".", F.element_at(F.split("i.namespace", "/"), -1), "i.name").alias("input"), F.col("i.field").alias("field")).withColumn("input", F.when(F.col("field").isNotNull(), F.col("input")))
 
 
 def lineage_coverage(spark: SparkSession, d: str) -> DataFrame:

@@ -137,6 +137,9 @@ _VOTES = f"v AS (SELECT key, db, CAST(sum(weight) AS BIGINT) AS n FROM {_of(m.VO
 _TEMPS = _of(m.TEMPS_SQL)
 # the last parts of a table's name, and the column, that each selector names
 _NAMED = "VALUES ('Orders.CustomerID', 'dbo.orders', 'customerid'), ('dbo.Customers.customerid', 'dbo.customers', 'customerid'), ('MART.dbo.fct_sales.revenue', 'mart.dbo.fct_sales', 'revenue'), ('STG.dbo.nation_3.Customer#000000011', 'stg.dbo.nation_3', 'customer#000000011'), ('dbo.Orders.Custom', 'dbo.orders', 'custom')"
+_THREE = r"([\[\]\w]+\s*\.\s*[\[\]\w]+\s*\.\s*[\[\]\w#]+)"
+_BARE = r"regexp_replace(x, '[\[\]\s]', '', 'g')"
+_SAID = r"sc AS (SELECT name, regexp_replace(regexp_replace(sql_text, '/\*.*?\*/', ' ', 'g'), '--[^\n]*', ' ', 'g') AS sql_text FROM " + _of(m.SCRIPTS_SQL) + ")"
 METADATA = {
     "graph_edges": f"WITH {EDGES} SELECT s AS from_key, t AS to_key, 'IDENTITY' AS transformation, s[1:1] || '>' || t[1:1] AS description FROM e",
     "graph_nodes": f"WITH {EDGES} SELECT s AS key FROM e UNION SELECT t FROM e",
@@ -176,6 +179,11 @@ METADATA = {
     "regex_dependencies": f"""SELECT DISTINCT name, lower(array_to_string(list_slice(x, greatest(len(x) - 2, 1), len(x)), '.')) AS dependency
        FROM (SELECT name, list_filter(string_split(regexp_replace(r, '[\\[\\]]', '', 'g'), '.'), lambda p: p <> '') AS x FROM (SELECT name, unnest(regexp_extract_all(regexp_replace(regexp_replace(sql_text, '/\\*.*?\\*/', ' ', 'g'),
        '--[^\n]*', ' ', 'g'), '(?i)\\b(?:from|join|update|merge\\s+into)\\s+([\\[\\]\\w.#@]+)', 1)) AS r FROM {_of(m.SCRIPTS_SQL)}))""",
+    "script_votes": f"""WITH {_SAID}, one AS (SELECT name, unnest(regexp_extract_all(sql_text, '{_THREE}', 1)) AS x, 1 AS w FROM sc UNION ALL SELECT name, unnest(regexp_extract_all(sql_text, '(?i)\\bINTO\\s+{_THREE}', 1)), 3 FROM sc)
+       SELECT name, split_part({_BARE}, '.', 1) AS db, CAST(sum(w) AS BIGINT) AS n FROM one WHERE lower(split_part({_BARE}, '.', 1)) NOT IN ('view', 'function', 'procedure', 'tempdb') GROUP BY 1, 2""",
+    "registry_learn": f"""WITH {_SAID}, one AS (SELECT unnest(regexp_extract_all(sql_text, '(?i)\\b(?:INTO|UPDATE)\\s+{_THREE}', 1)) AS x, 10 AS w FROM sc UNION ALL SELECT unnest(regexp_extract_all(sql_text, '(?i)\\b(?:FROM|JOIN)\\s+{_THREE}', 1)), 1 FROM sc)
+       SELECT '*::' || lower(split_part({_BARE}, '.', 2) || '.' || split_part({_BARE}, '.', 3)) AS key, upper(split_part({_BARE}, '.', 1)) AS db, CAST(sum(w) AS BIGINT) AS n FROM one
+       WHERE lower(split_part({_BARE}, '.', 1)) NOT IN ('view', 'function', 'procedure', 'tempdb') GROUP BY 1, 2""",
     "name_normalise": f"""SELECT name, array_to_string(list_slice(x, greatest(len(x) - 2, 1), len(x)), '.') AS plain, CASE WHEN len(x) = 1 THEN 'dbo.' || x[1] ELSE x[-2] || '.' || x[-1] END AS schema_table
        FROM (SELECT name, string_split(regexp_replace(trim(name), '[\\[\\]"]', '', 'g'), '.') AS x FROM {_of(m.NAMES_SQL)})""",
 }

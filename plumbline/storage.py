@@ -16,8 +16,10 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` computed once into the shared checkpoint folder, so that loops don't grow the plan and survive lost executors."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        # only a single machine, as in tests, leaves the folder unnamed
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        master = spark.sparkContext.master
+        if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="plumbline-"))
     return df.checkpoint(eager=True)
 

@@ -53,7 +53,8 @@ def test_selectors():
     assert graph.parse_selector("+a.b") == graph.Selector("a.b", "upstream")
     assert graph.parse_selector("a.b+").direction == "downstream"
     assert graph.parse_selector("+a.b+").direction == "both"
-    assert graph.parse_selector("..").error
+    assert graph.parse_selector("..").error and graph.parse_selector("one").error and graph.parse_selector("a.b.c.d.e").error and graph.parse_selector("t.*").error
+    assert graph.parse_selector(".x").pattern == "..x" and not graph.parse_selector("+dbo.t.*").error
 
 
 def test_patterns(spark):
@@ -62,3 +63,19 @@ def test_patterns(spark):
     hit = lambda p: {tuple(r) for r in nodes.where(graph.matches(p, F.col("n"), F.col("t"), F.col("c"))).select("t", "c").collect()}
     assert len(hit("dbo.Orders.*")) == 2 and len(hit("STG..rev")) == 1 and len(hit("..R?v*")) == 2 and hit("..") == set()
     assert len(hit("mssql://h/DW..id")) == 2 and len(hit("mssql://other..id")) == 0
+
+
+def test_exact_patterns(spark):
+    rows = [("mssql://h/STG", "STG.dbo.t", "id"), ("mssql://h/STG", "STG.dbo.t", "id_old"), ("mssql://h/X", "X.dbo.t", "id"), ("mssql://h/STG", "STG.core.t", "id"), ("mssql://h/STG", "dbo.u", "id"), ("mssql://h/STG", "xSTG.dbo.t", "id")]
+    nodes = spark.createDataFrame(rows, "n string, t string, c string")
+    hit = lambda p, db=None: {tuple(r) for r in nodes.where(graph.matches(p, F.col("n"), F.col("t"), F.col("c"), db)).select("t", "c").collect()}
+    assert hit("stg.dbo.t.ID") == {("STG.dbo.t", "id")}
+    assert hit("t.id", "STG") == {("STG.dbo.t", "id")} and hit("t.id") == {("STG.dbo.t", "id"), ("X.dbo.t", "id"), ("xSTG.dbo.t", "id")}
+    assert hit("core.t.id") == {("STG.core.t", "id")} and hit("dbo.u.id", "STG") == {("dbo.u", "id")} and hit("STG.dbo.u.id") == {("dbo.u", "id")}
+    assert hit("STG.dbo.t.i") == set() and hit("mssql://h/X.X.dbo.t.id") == {("X.dbo.t", "id")}
+    assert hit("STG.dbo.t.*") == {("STG.dbo.t", "id"), ("STG.dbo.t", "id_old")}
+
+
+def test_waves_of_separate_cycles(spark):
+    got = dict(map(tuple, graph.waves(edges(spark, [("a", "b"), ("b", "a"), ("x", "y"), ("y", "x"), ("y", "z"), ("s", "s")])).collect()))
+    assert got == {"a": 1, "x": 1, "b": 2, "y": 2, "z": 3, "s": 0}

@@ -41,7 +41,7 @@ def test_events_name_tables_that_give_no_column(spark):
     WHERE EXISTS (SELECT 1 FROM S.dbo.filtered AS f WHERE f.id = b.id AND f.x IN (SELECT i.x FROM S.dbo.inner_one AS i)) AND b.id IN (SELECT l.id FROM S.dbo.listed AS l)"""
     found = Extractor(spark)
     found.script(f"{tables}\nGO\n{view}")
-    want = {f"S.dbo.{t}" for t in ("base", "joined", "filtered", "inner_one", "listed", "of_cte")}
+    want = {f"dbo.{t}" for t in ("base", "joined", "filtered", "inner_one", "listed", "of_cte")}
     events = {r["name"]: json.loads(r["event"]) for r in artifacts.events(*found.tables(), dependencies=found.dependencies()).collect()}
     assert {i["name"] for i in events["S.dbo.v"]["inputs"]} == want and not events["S.dbo.base"]["inputs"]
 
