@@ -37,12 +37,10 @@ _BIN = "done boolean, length int, first long, pieces array<struct<doc_id: long,
 _FIELDS = ("doc_id", "piece", "start", "length", "crc", "row_no", "at")
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("crc", pa.int64()), ("row_no", pa.int64()), ("at", pa.int32())])
 _ARROW = pa.schema([("done", pa.bool_()), ("length", pa.int32()), ("first", pa.int64()), ("pieces", pa.list_(_PIECE))])
-#: Marks that the tokenizer always cuts from a word of letters before them.
-_MARKS = frozenset(".,;:!?|")
+#: Marks, of which the tokenizer cuts any run from a word of letters before it: ASCII punctuation but the apostrophe.
+_MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Below this, small letters are the same by Python and by the tokenizer, and composed forms stay composed.
 _FOLDS_ALIKE = "\u0250"
-#: Characters of the texts whose words are learnt together.
-GROUP_CHARS = 2_000_000
 
 
 class WordTokenizer:
@@ -50,7 +48,7 @@ class WordTokenizer:
 
     The tokenizer drops white space and works within words only, so a text's ids are its words' ids in a row. Words are cut
     at space, tab and line ends alone; any other white space stays inside a "word" and is left to the tokenizer. It also
-    folds case and cuts marks from letters, so a word of letters that ends in one mark has the ids of both, and a capital
+    folds case and cuts marks from letters, so a word of letters that ends in marks has the ids of both, and a capital
     those of the small letter: what it is asked for is plain stems, most of which are known.
     """
 
@@ -65,47 +63,56 @@ class WordTokenizer:
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = [b for b in range(256) if b not in plain]
         self.alphabet = {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.known = _Known(self.tokenizer, self.alphabet, {})
 
-    def _plain(self, word: str) -> tuple[str, str]:
-        """The stem and mark that have the word's ids together."""
+    def ids_of(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        for text in texts:
+            if len(self.known) > CACHE_WORDS:  # the words of the time before last are dropped
+                self.known = _Known(self.tokenizer, self.alphabet, dict(self.known))
+            yield np.frombuffer(b"".join([*map(self.known.__getitem__, _words(text or "")), self.end]), dtype="<u4")
+
+
+class _Known(dict):
+    """Ids of words as bytes; a word not met yet is asked of the tokenizer."""
+
+    def __init__(self, tokenizer, alphabet: dict[int, str], older: dict[str, bytes]) -> None:  # noqa: ANN001
+        super().__init__({"": b""})
+        self.encode, self.tokenize, self.alphabet, self.older = tokenizer.encode, tokenizer.model.tokenize, alphabet, older
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.made(word)
+        self[word] = ids
+        return ids
+
+    def made(self, word: str) -> bytes:
         if not word.isascii() and (max(word) >= _FOLDS_ALIKE or "\u0130" in word):
-            return word, ""
+            return self.plain(word)
         low = word.lower()
-        return (low[:-1], low[-1]) if low[-1] in _MARKS and low[:-1].isalpha() else (low, "")
-
-    def learn(self, words: set[str]) -> None:
-        known, older = self.known, self.older
-        if len(known) + len(words) > CACHE_WORDS:  # the words of the time before last are dropped
-            self.known, self.older = {"": b""}, known
-            known, older = self.known, self.older
-        missing = words.difference(known)
-        parts = {}
-        for w in missing:
-            if (ids := older.get(w)) is not None:
-                known[w] = ids
-            else:
-                parts[w] = self._plain(w)
-        new = [x for x in {p for pair in parts.values() for p in pair} if x not in known]
-        tokenize, alphabet = self.tokenizer.model.tokenize, self.alphabet
-        other = []
-        for x in new:
-            if x.isalpha() and max(x) < _FOLDS_ALIKE and "\u0130" not in x:  # already folded and one run of letters: only the merges are left to do
-                known[x] = array("I", [t.id for t in tokenize(x.encode().decode("latin-1").translate(alphabet))]).tobytes()
-            else:
-                other.append(x)
-        for x, coded in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            known[x] = array("I", coded.ids).tobytes()
-        for w, (stem, mark) in parts.items():
-            known[w] = known[stem] + known[mark]
-
-    def ids_of(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
-        known = self.known
-        for words in split:
-            yield np.frombuffer(b"".join([*map(known.__getitem__, words), self.end]), dtype="<u4")
+        stem = low.rstrip(_MARKS)
+        if not stem.isalpha():
+            return self.plain(word)
+        if len(stem) < len(low):  # the mark, or run of marks, is cut from the letters
+            return self[stem] + self[low[len(stem) :]]
+        if low != word:
+            return self[low]
+        # folded letters: only the merges are left to do
+        raw = low if low.isascii() else low.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.tokenize(raw)]).tobytes()
+
+    def plain(self, word: str) -> bytes:
+        return array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+
+
+def _words(text: str) -> list[str]:
+    """A text cut at space, tab and line ends. Latin-1 folds alike letter by letter, so the whole text is folded at once and has fewer words."""
+    try:
+        text.isascii() or text.encode("latin-1")
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -159,17 +166,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, slack:
     tok, items = word_tokenizer(path), []
     for batch in batches:
         docs, texts, rows = (batch.column(c).to_pylist() for c in ("id", "text", "row_no"))
-        start = 0
-        while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (stop == start or size < GROUP_CHARS):
-                size += len(texts[stop] or "")
-                stop += 1
-            for doc_id, row_no, ids in zip(docs[start:stop], rows[start:stop], tok.ids_of(texts[start:stop]), strict=True):
-                for n, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    items.append((len(part), [(doc_id, n, at, len(part), zlib.crc32(part.tobytes()), row_no, 0)]))
-            start = stop
+        for doc_id, row_no, ids in zip(docs, rows, tok.ids_of(texts), strict=True):
+            for n, at in enumerate(range(0, len(ids), capacity)):
+                part = ids[at : at + capacity]
+                items.append((len(part), [(doc_id, n, at, len(part), zlib.crc32(part.tobytes()), row_no, 0)]))
         if len(items) >= BLOCK_ITEMS:
             yield _pack(items, capacity, slack)
             items = []
