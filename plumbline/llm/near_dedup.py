@@ -351,6 +351,8 @@ def _searched(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     weights = outside.groupBy(F.col("team").alias("w_team")).agg(F.sum("weight").alias("outer_weight"))
     blocks = lambda w: F.greatest(F.ceil(F.col(w) / BLOCK_SHINGLES), F.lit(1)).cast("int")
     shape = main.join(weights, F.col("team") == F.col("w_team")).where("roots > 1").select(F.col("team").alias("n_team"), F.col("top.root").alias("main"), blocks("outer_weight").alias("outers"), blocks("all").alias("inners"))
+    shape = written(shape)
+    shape = F.broadcast(shape) if shape.count() <= FEW_CLASSES else shape  # so that a large team's rows stay where they are
     placed = rows.join(shape, F.col("team") == F.col("n_team"))
     at = lambda parts: F.pmod(F.xxhash64("cls"), F.col(parts)).cast("int")
     upto = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
