@@ -160,6 +160,31 @@ def bypass_temps(edges: DataFrame, is_temp: Column) -> DataFrame:
     return edges.select("from_key", "to_key", "transformation", "description").unionByName(across).distinct()
 
 
+def object_graph(dependencies: DataFrame) -> DataFrame:
+    """Of (object, input) pairs, those between different objects that are both known."""
+    known = dependencies.select(F.col("object").alias("input")).distinct()
+    return dependencies.select("object", "input").distinct().where("object <> input").join(known, "input", "left_semi").select("object", "input")
+
+
+def base_inputs(dependencies: DataFrame, is_temp) -> DataFrame:
+    """(object, input) with temps replaced by what they come from, however deep; is_temp: a function from a column to whether it is one.
+
+    A temp that nothing fills stays. Each round takes one step through temps, and goes on with pairs not met before.
+    """
+    own = cut(dependencies.select("object", "input").distinct())
+    through = own.select(F.col("object").alias("t"), F.col("input").alias("source"))
+    found = own.where(~is_temp(F.col("object")))
+    ahead = cut(found)
+    while True:
+        more = ahead.where(is_temp(F.col("input"))).join(through, F.col("input") == F.col("t")).select("object", F.col("source").alias("input")).distinct()
+        ahead = cut(more.join(found, ["object", "input"], "left_anti"))
+        if ahead.isEmpty():
+            break
+        found = cut(found.unionByName(ahead))
+    filled = own.select(F.col("object").alias("input")).distinct()
+    return found.where(~is_temp(F.col("input"))).unionByName(found.where(is_temp(F.col("input"))).join(filled, "input", "left_anti").select("object", "input"))
+
+
 def neighbourhood(edges: DataFrame, seed: str, table_of, max_depth: int = 0, direction: str = "both") -> DataFrame:
     """(table, level) around a table, by edges between tables. table_of: a function from a key column to its table."""
     flat = edges.select(table_of(F.col("from_key")).alias("from_key"), table_of(F.col("to_key")).alias("to_key")).where("from_key <> to_key").distinct()

@@ -172,6 +172,20 @@ def temp_owner_unique(spark: SparkSession, d: str) -> DataFrame:
     return graph.resolve_temps(_temp_edges(spark, d)).select("from_key", "to_key")
 
 
+def _dependencies(spark: SparkSession, d: str) -> DataFrame:
+    owner = lambda c: F.regexp_replace(c, r"[.][^.]*$", "")
+    return _temp_edges(spark, d).select(owner("to_key").alias("object"), owner("from_key").alias("input")).distinct()
+
+
+def dependency_graph(spark: SparkSession, d: str) -> DataFrame:
+    return graph.object_graph(_dependencies(spark, d))
+
+
+def dependency_base(spark: SparkSession, d: str) -> DataFrame:
+    """What each object comes from, temps passed through."""
+    return graph.base_inputs(_dependencies(spark, d), lambda c: c.contains("#"))
+
+
 def _catalogues(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return tuple(relation(spark, d, sql).withColumnRenamed("column_name", "column") for sql in (BASE_SQL, HEAD_SQL))
 

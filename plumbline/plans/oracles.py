@@ -79,6 +79,18 @@ WAREHOUSE = {
     "correlated_scalar": "SELECT order_id, customer_id, order_date FROM o WHERE order_date = (SELECT max(x.order_date) FROM o x WHERE x.customer_id = o.customer_id)",
 }
 
+WAREHOUSE |= {
+    "optional_parameters": "SELECT * FROM o WHERE (NULL IS NULL OR customer_id = NULL) AND ('F' IS NULL OR status = 'F')",
+    "cross_join_now": "SELECT order_id, CAST(date_diff('day', order_date, now) AS INTEGER) AS age_days FROM o CROSS JOIN n",
+    "theta_join": "SELECT customer_id, tier FROM c JOIN (VALUES (NULL, 0, 'debt'), (0, 2500, 'low'), (2500, 7500, 'middle'), (7500, NULL, 'high')) AS t(low, high, tier) ON (low IS NULL OR balance >= low) AND (high IS NULL OR balance < high)",
+    "window_frames": """SELECT order_id, CAST(ntile(4) OVER w AS INTEGER) AS quarter, lead(order_id) OVER w AS next_order, first_value(order_id) OVER a AS first_order, last_value(order_id) OVER a AS last_order,
+       count(*) OVER (PARTITION BY customer_id ORDER BY date_diff('day', DATE '1970-01-01', order_date) RANGE BETWEEN 90 PRECEDING AND CURRENT ROW) AS orders_90_days
+       FROM o WINDOW w AS (PARTITION BY customer_id ORDER BY order_date, order_id), a AS (PARTITION BY customer_id ORDER BY order_date, order_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+    "global_row_number": "SELECT order_id, row_number() OVER (ORDER BY order_id DESC) AS row_no FROM o",
+    "order_by_multiple": f", {_metrics(12)} SELECT * FROM mt ORDER BY total_revenue DESC, customer_id",
+    "agg_text_and_spread": "SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segments, round(stddev_samp(c_acctbal), 4) AS spread, round(var_samp(c_acctbal), 2) AS variance, count(*) AS customers FROM customer GROUP BY c_nationkey",
+}
+
 EDGES = """e(s, t) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
   UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem)"""
 
@@ -154,6 +166,9 @@ METADATA = {
     "table_neighbourhood": "SELECT * FROM (VALUES ('r', 2), ('n', 1), ('c', 0), ('o', 1), ('p', 2)) AS t(\"table\", level)",
     "topo_waves": f"WITH RECURSIVE {EDGES}, r(k, lvl) AS (SELECT s, 0 FROM e WHERE s NOT IN (SELECT t FROM e) UNION SELECT e.t, lvl + 1 FROM r JOIN e ON e.s = k) SELECT k AS key, CAST(max(lvl) AS INTEGER) AS wave FROM r GROUP BY k",
     "edge_colours": f"WITH {EDGES} SELECT s AS from_key, t AS to_key, CAST((row_number() OVER (PARTITION BY s ORDER BY t) - 1) % 6 AS INTEGER) AS colour FROM e",
+    "dependency_graph": f"WITH e AS {_TEMPS}, d AS (SELECT DISTINCT regexp_replace(to_key, '[.][^.]*$', '') AS object, regexp_replace(from_key, '[.][^.]*$', '') AS input FROM e) SELECT * FROM d WHERE object <> input AND input IN (SELECT object FROM d)",
+    "dependency_base": f"""WITH RECURSIVE e AS {_TEMPS}, d AS (SELECT DISTINCT regexp_replace(to_key, '[.][^.]*$', '') AS object, regexp_replace(from_key, '[.][^.]*$', '') AS input FROM e),
+       r(object, input) AS (SELECT object, input FROM d WHERE object NOT LIKE '%#%' UNION SELECT r.object, d.input FROM r JOIN d ON r.input = d.object WHERE r.input LIKE '%#%') SELECT object, input FROM r WHERE input NOT LIKE '%#%' OR input NOT IN (SELECT object FROM d)""",
     "wildcard_table": f"SELECT table_name, column_name FROM {_NODES} WHERE lower(table_name) LIKE '%dbo.orders'",
     "wildcard_contains": f"SELECT table_name, column_name FROM {_NODES} WHERE lower(table_name) LIKE 'stg%' AND lower(column_name) LIKE '%customer%'",
     "wildcard_glob": f"SELECT table_name, column_name FROM {_NODES} WHERE lower(column_name) LIKE '%id'",

@@ -323,3 +323,61 @@ def correlated_scalar(spark: SparkSession, d: str) -> DataFrame:
     last = own.groupBy("customer_id").agg(F.max("order_date").alias("order_date"))
     return own.join(last, ["customer_id", "order_date"]).select("order_id", "customer_id", "order_date")
 
+
+
+# joins, windows and aggregates that the scripts use besides
+
+
+def optional(df: DataFrame, **given) -> DataFrame:
+    """`(@p IS NULL OR column = @p)` for each parameter: one that is None filters nothing, and the plan has no trace of it."""
+    for column, value in given.items():
+        df = df if value is None else df.where(F.col(column) == value)
+    return df
+
+
+def optional_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of one status; the customer is left open."""
+    return optional(orders(spark, d), status="F", customer_id=None)
+
+
+def cross_join_now(spark: SparkSession, d: str) -> DataFrame:
+    """Orders beside one row, the last date."""
+    now = orders(spark, d).agg(F.max("order_date").alias("now"))
+    return orders(spark, d).crossJoin(F.broadcast(now)).select("order_id", F.datediff("now", "order_date").alias("age_days"))
+
+
+#: Ranges of balances, from and below.
+TIERS = ((None, 0, "debt"), (0, 2500, "low"), (2500, 7500, "middle"), (7500, None, "high"))
+
+
+def theta_join(spark: SparkSession, d: str) -> DataFrame:
+    """Customers joined to the range that holds their balance."""
+    tiers = spark.createDataFrame(list(TIERS), "low int, high int, tier string")
+    holds = (F.col("low").isNull() | (F.col("balance") >= F.col("low"))) & (F.col("high").isNull() | (F.col("balance") < F.col("high")))
+    return customers(spark, d).join(F.broadcast(tiers), holds).select("customer_id", "tier")
+
+
+def window_frames(spark: SparkSession, d: str) -> DataFrame:
+    """NTILE, LEAD, first and last values, and a RANGE frame of days, by customer: one sort serves all but the last."""
+    by = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    days = Window.partitionBy("customer_id").orderBy("day").rangeBetween(-90, 0)
+    own = orders(spark, d).withColumn("day", F.unix_date("order_date"))
+    return own.select("order_id", F.ntile(4).over(by).alias("quarter"), F.lead("order_id", 1).over(by).alias("next_order"), F.first("order_id").over(whole).alias("first_order"), F.last("order_id").over(whole).alias("last_order"), F.count(F.lit(1)).over(days).alias("orders_90_days"))
+
+
+def global_row_number(spark: SparkSession, d: str) -> DataFrame:
+    """ROW_NUMBER() OVER (ORDER BY order_id DESC) without a single partition: ids are unique, so it is their rank."""
+    return global_rank(orders(spark, d).select("order_id"), "order_id", "row_no")
+
+
+def order_by_multiple(spark: SparkSession, d: str) -> DataFrame:
+    return usp_customer_metrics(spark, d).orderBy(F.desc("total_revenue"), "customer_id")
+
+
+def agg_text_and_spread(spark: SparkSession, d: str) -> DataFrame:
+    """STRING_AGG, STDEV and VAR by nation."""
+    own = table(spark, d, "customer")
+    return own.groupBy("c_nationkey").agg(
+        F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("segments"), F.round(F.stddev_samp("c_acctbal"), 4).alias("spread"), F.round(F.var_samp("c_acctbal"), 2).alias("variance"), F.count(F.lit(1)).alias("customers")
+    )
