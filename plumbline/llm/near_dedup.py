@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, written
+from plumbline.llm.common import cut, slices, written
 
 WORDS, PERCENT = 5, 75
 #: 24 bands of 4 places: a pair of similarity 0.75 shares none with probability 1e-4, one of 0.8 with 4e-6.
@@ -136,7 +136,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
     size = 0
-    for batch in batches:
+    for batch in slices(batches):
         for ident, row_no, text_key, text in zip(*(batch.column(c).to_pylist() for c in ("id", "row_no", "text_key", "text")), strict=True):
             rows.append((ident, row_no, text_key))
             sets.append(shingle_set(text))
@@ -156,7 +156,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingle_set(t).view(np.int64) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "n", "shingles"])
 

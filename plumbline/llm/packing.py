@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import cut, slices
 
 CAPACITY = 2048
 #: Partitions that one node of the tree merges.
@@ -30,8 +30,8 @@ FAN_IN = 8
 SLACK = 8
 #: Items that a node packs at once; more are packed in blocks of this many, which bounds its memory.
 BLOCK_ITEMS = 200_000
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 500_000
+#: Words whose ids a worker keeps, and as many of the time before: about 200 bytes each.
+CACHE_WORDS = 150_000
 
 _BIN = "done boolean, length int, first long, pieces array<struct<doc_id: long, piece: int, start: long, length: int, crc: long, row_no: long, at: int>>"
 _FIELDS = ("doc_id", "piece", "start", "length", "crc", "row_no", "at")
@@ -164,7 +164,7 @@ def _pack(items: list[tuple[int, list[tuple]]], capacity: int, slack: int) -> pa
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, slack: int) -> Iterator[pa.RecordBatch]:
     """Tokenises whole texts and packs their pieces in blocks of BLOCK_ITEMS."""
     tok, items = word_tokenizer(path), []
-    for batch in batches:
+    for batch in slices(batches):
         docs, texts, rows = (batch.column(c).to_pylist() for c in ("id", "text", "row_no"))
         for doc_id, row_no, ids in zip(docs, rows, tok.ids_of(texts), strict=True):
             for n, at in enumerate(range(0, len(ids), capacity)):

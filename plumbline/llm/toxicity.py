@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import slices
 from plumbline.llm.quality_model import held_out, one_text_an_id
 
 #: Labelled rows of each label that the fit may use at most: the bound of what the driver holds, with whole texts.
@@ -34,7 +35,7 @@ EPOCHS, BATCH, RATE = 7, 128, 0.01
 #: Steps of descent that a small sample gets at least, by smaller batches and more rounds.
 LEAST_STEPS = 240
 #: Words whose inputs a worker keeps, and windows that run side by side.
-CACHE_WORDS, SIDE_BY_SIDE = 200_000, 1024
+CACHE_WORDS, SIDE_BY_SIDE = 150_000, 1024
 
 _WORDS = re.compile(rf"\w{{1,{WORD_LETTERS}}}")
 
@@ -342,7 +343,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
 
 
 def _scores(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         score = net.score(texts) if net else np.zeros(len(texts))
         kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
@@ -372,7 +373,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     shape = docs.schema
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array(net.score(texts) < threshold)) if net else batch
 
