@@ -64,14 +64,22 @@ def relation(spark: SparkSession, d: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{name: table(spark, d, name) for name in named})
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    """region → nation → customer → order → part, by the driver's keys."""
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """region → nation → customer → order → part, by the driver's keys, as often as rows say so."""
     pair = lambda name, a, x, b, y: table(spark, d, name).select(F.concat(F.lit(a), F.col(x).cast("string")).alias("from_key"), F.concat(F.lit(b), F.col(y).cast("string")).alias("to_key"))
     steps = [pair("nation", "r", "n_regionkey", "n", "n_nationkey"), pair("customer", "n", "c_nationkey", "c", "c_custkey"), pair("orders", "c", "o_custkey", "o", "o_orderkey"), pair("lineitem", "o", "l_orderkey", "p", "l_partkey")]
     out = steps[0]
     for s in steps[1:]:
         out = out.unionByName(s)
-    return out.distinct().select("from_key", "to_key", F.lit("IDENTITY").alias("transformation"), F.concat(F.substring("from_key", 1, 1), F.lit(">"), F.substring("to_key", 1, 1)).alias("description"))
+    return out
+
+
+def _described(pairs: DataFrame) -> DataFrame:
+    return pairs.select("from_key", "to_key", F.lit("IDENTITY").alias("transformation"), F.concat(F.substring("from_key", 1, 1), F.lit(">"), F.substring("to_key", 1, 1)).alias("description"))
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    return _described(_pairs(spark, d).distinct())
 
 
 def seeds(spark: SparkSession, *keys: str) -> DataFrame:
@@ -87,7 +95,7 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.nodes_of(edges(spark, d))
+    return graph.nodes_of(_pairs(spark, d))
 
 
 def impact_downstream(spark: SparkSession, d: str) -> DataFrame:
