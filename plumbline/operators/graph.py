@@ -65,23 +65,28 @@ def impact(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", ma
     """
     if direction == "both":
         return impact(edges, seeds, "upstream", max_depth).unionByName(impact(edges, seeds, "downstream", max_depth))
-    upstream = direction == "upstream"
-    near, far = ("to_key", "from_key") if upstream else ("from_key", "to_key")
+    return _reached(edges, seeds, direction, max_depth)[0]
+
+
+def _reached(edges: DataFrame, seeds: DataFrame, direction: str, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """The impact in one direction, and the levels of the nodes it reaches, from one cut of the edges."""
+    near, far = ("to_key", "from_key") if direction == "upstream" else ("from_key", "to_key")
     own = by_end(edges.select("from_key", "to_key", "transformation", "description"), near)
     levels = _levels(own, seeds, max_depth, near, far)
     at_near, at_far = (levels.select(F.col("key").alias(k), F.col("level").alias(f"{k}_level")) for k in (near, far))
     inside = own.join(at_near if not max_depth else at_near.where(F.col(f"{near}_level") < max_depth), near).join(at_far, far, "left")
     level = F.coalesce(F.when(F.col(f"{far}_level") > 0, F.col(f"{far}_level")), F.lit(NO_LEVEL))
     first = inside.groupBy("from_key", "to_key", "transformation", "description").agg(F.min(level).cast("int").alias("level"))
-    return first.select("from_key", "to_key", F.lit(direction).alias("direction"), "transformation", "description", "level")
+    return first.select("from_key", "to_key", F.lit(direction).alias("direction"), "transformation", "description", "level"), levels
 
 
 def traversal_stats(edges: DataFrame, seeds: DataFrame, table_of: Column) -> DataFrame:
     """One row: distinct edges and other tables on either side of the seeds. table_of: the table of the column `key`."""
     parts = []
     for side in ("upstream", "downstream"):
-        reached = distances(edges, seeds, 0, side == "upstream").where("level > 0")
-        n_edges = impact(edges, seeds, side).agg(F.count(F.lit(1)).alias(f"{side}_edges"))
+        found, levels = _reached(edges, seeds, side, 0)
+        reached = levels.where("level > 0")
+        n_edges = found.agg(F.count(F.lit(1)).alias(f"{side}_edges"))
         n_tables = reached.agg(F.count_distinct(table_of).alias(f"{side}_tables"), F.count_distinct("key").alias(f"{side}_columns"))
         parts.append(n_edges.join(n_tables, F.lit(True)))  # two rows of one
     return parts[0].join(parts[1], F.lit(True))

@@ -9,3 +9,10 @@ from plumbline.plans import metadata
 def test_nodes_need_no_distinct_edges(spark):
     plan = metadata.graph_nodes(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
+
+
+def test_statistics_cut_the_edges_once_a_side(spark, monkeypatch):
+    cuts, by_end = [], graph.by_end
+    monkeypatch.setattr(graph, "by_end", lambda edges, end: cuts.append(end) or by_end(edges, end))
+    metadata.graph_stats(spark, DATA)
+    assert sorted(cuts) == ["from_key", "to_key"]
