@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.storage import table
+from plumbline.storage import dealt, table
 
 MONEY = "decimal(18,2)"
 FULFILLED = ("F", "O")
@@ -78,8 +78,14 @@ def dim_product(spark: SparkSession, d: str) -> DataFrame:
     return products(spark, d)
 
 
+def lines(spark: SparkSession, d: str) -> int:
+    """Rows of `lineitem`, from the files' footers."""
+    return table(spark, d, "lineitem").count()
+
+
 def sales(spark: SparkSession, d: str) -> DataFrame:
-    return items(spark, d).join(orders(spark, d), "order_id").select("order_id", "line_no", "order_date", "customer_id", "product_id", "quantity", "revenue")
+    n = lines(spark, d)
+    return dealt(items(spark, d), n, "order_id").join(dealt(orders(spark, d), n, "order_id"), "order_id").select("order_id", "line_no", "order_date", "customer_id", "product_id", "quantity", "revenue")
 
 
 def fct_sales(spark: SparkSession, d: str) -> DataFrame:
@@ -157,14 +163,13 @@ def global_rank(rows: DataFrame, column: str, alias: str = "amount_rank") -> Dat
 
 
 def vw_sales_analytics(spark: SparkSession, d: str) -> DataFrame:
-    """Sales by order and product, as single lines have no key."""
+    """Sales by order and product, as single lines have no key. Each window has its own partitions, as many as the lines need."""
+    n = lines(spark, d)
     own = sales(spark, d).groupBy("order_id", "customer_id", "product_id", "order_date").agg(F.sum("revenue").alias("revenue"))
-    moving = Window.partitionBy("product_id").orderBy("order_date", "order_id").rowsBetween(-2, 0)
-    return own.select(
-        "order_id", "customer_id", "product_id", "order_date", money("revenue"),
-        F.sum("revenue").over(Window.partitionBy("customer_id")).cast("double").alias("customer_total"),
-        F.sum("revenue").over(moving).cast("double").alias("moving_sum"),
-        F.dense_rank().over(Window.partitionBy("customer_id").orderBy(F.desc("revenue"))).alias("revenue_rank"),
+    by, moving = Window.partitionBy("customer_id"), Window.partitionBy("product_id").orderBy("order_date", "order_id").rowsBetween(-2, 0)
+    of_customer = dealt(own, n, "customer_id").select("*", F.sum("revenue").over(by).cast("double").alias("customer_total"), F.dense_rank().over(by.orderBy(F.desc("revenue"))).alias("revenue_rank"))
+    return dealt(of_customer, n, "product_id").select(
+        "order_id", "customer_id", "product_id", "order_date", money("revenue"), "customer_total", F.sum("revenue").over(moving).cast("double").alias("moving_sum"), "revenue_rank"
     )
 
 

@@ -1,4 +1,4 @@
-"""Table access, lineage cuts and small tables in the plan."""
+"""Table access, partitions by rows, lineage cuts and small tables in the plan."""
 
 from __future__ import annotations
 
@@ -12,6 +12,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rows that one task joins and sorts at a time, of tables of which a task of each core would get more.
+ROWS_A_TASK = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """`df` in partitions by `keys`, as many as `rows` rows need, so that a task's memory doesn't grow with the table; as it is where there is a core for each.
+
+    AQE joins partitions of a shuffle of its own to about one a core, or to a size of compressed bytes; not those of a given number.
+    """
+    n = -(-rows // ROWS_A_TASK)
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` computed once into the shared checkpoint folder, so that loops don't grow the plan and survive lost executors."""
     spark = df.sparkSession
