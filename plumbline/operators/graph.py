@@ -32,29 +32,39 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 
 
 def by_end(edges: DataFrame, end: str) -> DataFrame:
-    """The edges, cut once into partitions by one end, so that joins on it move the other side only."""
-    return cut(edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), end))
+    """The edges, cut once into partitions by one end, so that joins on it move the other side only.
+
+    Planned without AQE: a plan of its own forgets its partitions when it is cut, and each join would move the edges again.
+    """
+    conf = edges.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(edges.repartition(int(conf.get("spark.sql.shuffle.partitions")), end))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def distances(edges: DataFrame, seeds: DataFrame, max_depth: int = 0, upstream: bool = False) -> DataFrame:
-    """(key, level) of all nodes reached from `seeds` (key), the seeds at level 0; max_depth 0: without limit.
+    """(key, level) of all nodes reached from `seeds` (key), the seeds at level 0; max_depth 0: without limit."""
+    near, far = ("to_key", "from_key") if upstream else ("from_key", "to_key")
+    return _walk(by_end(edges.select(near, far), near), seeds, max_depth, near, far)[1]
 
-    Frontier by frontier: a level moves its frontier only, to the edges and to what was reached before.
-    """
-    ahead, back = ("to_key", "from_key") if upstream else ("from_key", "to_key")
-    return _levels(by_end(edges.select(ahead, back), ahead), seeds, max_depth, ahead, back)
 
+def _walk(own: DataFrame, seeds: DataFrame, max_depth: int, near: str, far: str) -> tuple[DataFrame, DataFrame]:
+    """The edges whose near ends are within reach, and (key, level) of the nodes reached. own: cut by its near end.
 
-def _levels(steps: DataFrame, seeds: DataFrame, max_depth: int, ahead: str, back: str) -> DataFrame:
-    steps = steps.select(F.col(ahead).alias("at"), F.col(back).alias("key"))
+    Frontier by frontier: a level moves its frontier only, to the edges and to what was reached before. The frontier is what is
+    hashed, so the edges stream past unsorted, once a level; those that it meets are kept, and looked for no more.
+    """
     frontier = cut(seeds.select("key").distinct().withColumn("level", F.lit(0)))
-    reached, depth = frontier, 0
+    found, reached, depth = own.limit(0), frontier, 0
     while (max_depth == 0 or depth < max_depth) and not frontier.isEmpty():
-        depth += 1
-        found = steps.join(frontier.select(F.col("key").alias("at")), "at").select("key").distinct()
-        frontier = cut(found.join(reached.select("key"), "key", "left_anti").withColumn("level", F.lit(depth)))
+        met = cut(own.join(frontier.select(F.col("key").alias(near)).hint("shuffle_hash"), near).select(own.columns))
+        found, depth = met if depth == 0 else found.unionByName(met), depth + 1
+        frontier = cut(met.select(F.col(far).alias("key")).distinct().join(reached.select("key"), "key", "left_anti").withColumn("level", F.lit(depth)))
         reached = reached.unionByName(frontier)
-    return reached
+    return found, reached
 
 
 def impact(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", max_depth: int = 0) -> DataFrame:
@@ -69,14 +79,12 @@ def impact(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", ma
 
 
 def _reached(edges: DataFrame, seeds: DataFrame, direction: str, max_depth: int) -> tuple[DataFrame, DataFrame]:
-    """The impact in one direction, and the levels of the nodes it reaches, from one cut of the edges."""
+    """The impact in one direction, and the levels of the nodes it reaches, from one cut of the edges; edges that repeat become one when they are few."""
     near, far = ("to_key", "from_key") if direction == "upstream" else ("from_key", "to_key")
     own = by_end(edges.select("from_key", "to_key", "transformation", "description"), near)
-    levels = _levels(own, seeds, max_depth, near, far)
-    at_near, at_far = (levels.select(F.col("key").alias(k), F.col("level").alias(f"{k}_level")) for k in (near, far))
-    inside = own.join(at_near if not max_depth else at_near.where(F.col(f"{near}_level") < max_depth), near).join(at_far, far, "left")
-    level = F.coalesce(F.when(F.col(f"{far}_level") > 0, F.col(f"{far}_level")), F.lit(NO_LEVEL))
-    first = inside.groupBy("from_key", "to_key", "transformation", "description").agg(F.min(level).cast("int").alias("level"))
+    inside, levels = _walk(own, seeds, max_depth, near, far)
+    level = F.coalesce(F.when(F.col("level") > 0, F.col("level")), F.lit(NO_LEVEL))
+    first = inside.join(levels.withColumnRenamed("key", far), far, "left").groupBy("from_key", "to_key", "transformation", "description").agg(F.min(level).cast("int").alias("level"))
     return first.select("from_key", "to_key", F.lit(direction).alias("direction"), "transformation", "description", "level"), levels
 
 

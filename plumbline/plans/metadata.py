@@ -87,7 +87,7 @@ def seeds(spark: SparkSession, *keys: str) -> DataFrame:
 
 
 def _impact(spark: SparkSession, d: str, key: str, direction: str, depth: int = 0) -> DataFrame:
-    return graph.impact(edges(spark, d), seeds(spark, key), direction, depth).select("from_key", "to_key", "direction", "level")
+    return graph.impact(_described(_pairs(spark, d)), seeds(spark, key), direction, depth).select("from_key", "to_key", "direction", "level")
 
 
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +115,7 @@ def impact_depth2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
-    return graph.traversal_stats(edges(spark, d), seeds(spark, "n3"), F.substring("key", 1, 1))
+    return graph.traversal_stats(_described(_pairs(spark, d)), seeds(spark, "n3"), F.substring("key", 1, 1))
 
 
 def graph_degree_rank(spark: SparkSession, d: str) -> DataFrame:
