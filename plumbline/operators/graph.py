@@ -60,7 +60,8 @@ def _walk(own: DataFrame, seeds: DataFrame, max_depth: int, near: str, far: str)
     frontier = cut(seeds.select("key").distinct().withColumn("level", F.lit(0)))
     found, reached, depth = own.limit(0), frontier, 0
     while (max_depth == 0 or depth < max_depth) and not frontier.isEmpty():
-        met = cut(own.join(frontier.select(F.col("key").alias(near)).hint("shuffle_hash"), near).select(own.columns))
+        # cutting runs its last stage twice; after a shuffle that isn't the one that reads all edges
+        met = cut(own.join(frontier.select(F.col("key").alias(near)).hint("shuffle_hash"), near).select(own.columns).repartition(far))
         found, depth = met if depth == 0 else found.unionByName(met), depth + 1
         frontier = cut(met.select(F.col(far).alias("key")).distinct().join(reached.select("key"), "key", "left_anti").withColumn("level", F.lit(depth)))
         reached = reached.unionByName(frontier)
